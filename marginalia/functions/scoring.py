@@ -9,16 +9,21 @@ from marginalia import constants as C
 from marginalia.functions.text import snippet
 
 
-def to_axis(score: Column, confidence: Column, legend) -> Column:
-    """Percentage and label of a 0..3 score, halves rounded away from zero."""
-    top = C.LEVELS - 1
+def percent(score: Column) -> Column:
+    """Percentage of a 0..3 score, halves rounded away from zero."""
+    return F.round(F.lit(100.0) * score / F.lit(float(C.LEVELS - 1))).cast("int")
+
+
+def legend_label(score: Column, legend) -> Column:
+    """Label of the nearest level, '' outside the legend."""
     labels = F.create_map(*[x for i, label in enumerate(legend) for x in (F.lit(i), F.lit(label))])
-    return F.struct(
-        score.cast("double").alias("score"),
-        F.round(F.lit(100.0) * score / F.lit(float(top))).cast("int").alias("pct"),
-        F.coalesce(F.try_element_at(labels, F.round(score).cast("int")), F.lit("")).alias("label"),
-        confidence.cast("double").alias("confidence"),
-    )
+    return F.coalesce(F.try_element_at(labels, F.round(score).cast("int")), F.lit(""))
+
+
+def to_axis(score: Column, confidence: Column, label: Column) -> Column:
+    """Score, percentage, label and confidence of one graded axis."""
+    return F.struct(score.cast("double").alias("score"), percent(score).alias("pct"), label.alias("label"),
+                    confidence.cast("double").alias("confidence"))
 
 
 def estimate_tokens(size_bytes: Column) -> Column:
