@@ -17,6 +17,7 @@ from marginalia.functions.text import WS
 from marginalia.operators.extraction import slice_bytes
 from marginalia.operators.lexing import tokens, with_python_pieces
 from marginalia.operators.structure import syntax_status
+from marginalia.plans.durable import durable
 
 col = F.col
 
@@ -72,8 +73,10 @@ def guard(planned: DataFrame) -> DataFrame:
 
     The syntax check is lighter than a compiler, so code tokens are compared as well: an edit
     that only takes comments cannot change them. Python is parsed for real, and may lose a
-    docstring.
+    docstring. The plan is read three times, so it is cut first.
     """
+    planned = durable(planned)
+
     def status(content: str, prefix: str) -> DataFrame:
         named = with_python_pieces(planned.select("file", col(content).alias("content"))).repartition("file")
         return syntax_status(tokens(named)).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +13,9 @@ from marginalia.operators.lookup import spread_join
 
 def exempt_prefix(text: Column, prefixes) -> Column:
     """The prose is empty or starts with a prefix, whatever the case (F2)."""
-    lowered = F.lower(text)
-    return reduce(lambda a, b: a | b, (lowered.startswith(prefix.lower()) for prefix in prefixes), text == "")
+    # one pattern, so the text is computed once wherever the optimizer moves the test to
+    pattern = "|".join([r"\z", *(re.escape(prefix.lower()) for prefix in prefixes)])
+    return F.lower(text).rlike(f"^(?:{pattern})")
 
 
 def disposition(settings, kind: Column, text: Column, comment: Column, ignore_next: Column, baselined: Column) -> Column:

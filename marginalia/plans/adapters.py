@@ -58,6 +58,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumns({"kind": kind, "comment_text": comment, "code_text": below, "file": file_of(col("doc_id"))})
     return rows.select(
         "doc_id", "i", "file", "kind", "comment_text", "code_text", F.lit("").alias("context"),
+        F.struct(F.lit(0).alias("start"), F.octet_length("comment_text").alias("end")).alias("comment"),
         (col("i") + 1).cast("int").alias("line"), F.lit(1).alias("column"), col("i").alias("ord"),
         F.when(blocked, F.concat_ws(":", "file", F.floor(col("i") / 8).cast("string"))).otherwise("").alias("block"),
         F.when(kind == "annotation", F.concat(F.lit("a"), (col("i") % 8).cast("string"))).otherwise("").alias("slot"),

@@ -233,6 +233,18 @@ requests AS (
   FROM (SELECT * FROM singles UNION ALL SELECT * FROM grouped))"""
 
 
+_CACHE = f"""WITH {FINDINGS},
+chosen AS (
+  SELECT f.id, arg_min(f.doc_id, (f.doc_id, f.i)) AS d, arg_min(f.i, (f.doc_id, f.i)) AS i, arg_min(e.ts, (f.doc_id, f.i)) AS ts
+  FROM findings f JOIN labels l ON l.doc_id = f.doc_id JOIN events e ON e.event_id = f.doc_id
+  WHERE f.i % 2 = 0 GROUP BY f.id),
+entries AS (
+  SELECT CASE WHEN d % 4 = 0 THEN 'other' ELSE 'mine' END AS salt, id, (d + age) * 31 + i * 7 AS verdict_m,
+         ts - age * INTERVAL 1 DAY AS stored
+  FROM chosen, (SELECT unnest([0, 9]) AS age)),
+newest AS (
+  SELECT salt, id, max(stored) AS stored, arg_max(verdict_m, stored) AS verdict_m FROM entries GROUP BY salt, id)"""
+
 # --- source text -----------------------------------------------------------------------------------
 
 SOURCE_LINES = f"""{LINES},
@@ -386,6 +398,58 @@ ORACLES: dict[str, str] = {
     "budget_cut": f"""{_requests(32000)}, s AS (SELECT req_id, coalesce(sum(est_tokens) OVER (ORDER BY md5(req_id), req_id
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent_before FROM requests)
         SELECT req_id, spent_before, spent_before <= 1000000 AS within FROM s""",
+    "cached_verdicts": f"""{_CACHE}, live AS (SELECT id, verdict_m FROM newest WHERE salt = 'mine'
+          AND stored >= TIMESTAMP '2024-01-21 00:00:00' - INTERVAL 20 DAY)
+        SELECT doc_id, i, verdict_m IS NOT NULL AS hit,
+          round(100e0 * ((verdict_m * 37 % 301)::DOUBLE / 100e0) / 3e0)::INTEGER AS accuracy_pct
+        FROM findings LEFT JOIN live USING (id)""",
+    "cache_generations": f"""{_CACHE} SELECT salt, id, stored,
+        round(100e0 * ((verdict_m * 53 % 301)::DOUBLE / 100e0) / 3e0)::INTEGER AS usefulness_pct FROM newest""",
+    "scored_verdicts": f"""{_requests(32000)}, groups AS (
+          SELECT id, file, ord, kind, block, comment_text, CASE WHEN block = '' THEN id ELSE block || '#0' END AS req_id FROM findings),
+        judged AS (
+          SELECT g.id, g.file, g.ord, g.kind, r.n_findings,
+            CASE WHEN g.block = '' THEN contains(first_value(g.comment_text) OVER (PARTITION BY g.req_id ORDER BY g.file, g.ord), 'the')
+                 ELSE false END AS said, g.slot_free
+          FROM (SELECT *, true AS slot_free FROM groups) g JOIN requests r USING (req_id))
+        SELECT id, arg_max(CASE WHEN said THEN 17 ELSE 83 END, (file, ord)) AS accuracy_pct,
+          arg_max(CASE WHEN kind = 'annotation' THEN 0e0 WHEN said THEN 0.2e0 ELSE 0.4e0 END, (file, ord)) AS commented_out,
+          arg_max((999 // n_findings)::INTEGER, (file, ord)) AS input_tokens
+        FROM judged GROUP BY id""",
+    "docblock_parts": rf"""WITH {LINES},
+        body AS (SELECT doc_id, i + 1 AS k, CASE WHEN (i + doc_id) % 5 = 3 THEN ' * @param p' || i || ' ' || text
+            WHEN (i + doc_id) % 7 = 6 THEN ' *' ELSE ' * ' || text END AS line FROM lines),
+        block AS (SELECT * FROM body UNION ALL SELECT doc_id, 0, '/**' FROM documents
+          UNION ALL SELECT doc_id, max(k) + 1, ' */' FROM body GROUP BY doc_id),
+        facts AS (SELECT *, regexp_matches(line, '^\s*(?:/\*\*?)?\s*\*?\s*(@[A-Za-z][\w-]*)') AS tag,
+            regexp_replace(regexp_replace(regexp_replace(line, '[ \t\r]+$', ''), '\*/$', ''), '[ \t]+$', '') AS kept,
+            coalesce(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY doc_id ORDER BY k
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM block),
+        states AS (SELECT *, NOT tag AND ltrim(kept, ' */' || chr(9)) = '' AS blank FROM facts),
+        runs AS (SELECT *,
+            coalesce(max(CASE WHEN tag THEN k END) OVER w, -1) AS last_tag,
+            coalesce(max(CASE WHEN blank THEN k END) OVER w, -1) AS last_blank FROM states
+          WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+        placed AS (SELECT *, last_tag >= 0 AND last_tag > last_blank AS inside FROM runs),
+        tags AS (SELECT doc_id, last_tag AS k, row_number() OVER (PARTITION BY doc_id ORDER BY last_tag) AS slot,
+            min(pos) AS line_pos, arg_min(length(line) - length(ltrim(line, ' */' || chr(9))), k) AS lead,
+            max(pos + octet_length(encode(kept))) AS e, max(k) AS until,
+            string_agg(line, chr(10) ORDER BY k) AS text, arg_max(line, k) AS last_line, arg_max(kept, k) AS last_kept
+          FROM placed WHERE inside GROUP BY doc_id, last_tag),
+        prose AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS text FROM placed WHERE NOT inside GROUP BY doc_id),
+        marked AS (SELECT p.doc_id, string_agg(
+            CASE WHEN o.slot IS NOT NULL THEN '>>> A' || o.slot || chr(10) ELSE '' END || line ||
+            CASE WHEN c.slot IS NOT NULL THEN chr(10) || '<<< A' || c.slot ELSE '' END, chr(10) ORDER BY p.k) AS text,
+            count(o.slot) AS n, sum(octet_length(encode(line)) + 1) - 1 AS size, min(o.line_pos) AS first_pos
+          FROM placed p LEFT JOIN tags o ON o.doc_id = p.doc_id AND o.k = p.k
+          LEFT JOIN tags c ON c.doc_id = p.doc_id AND c.until = p.k GROUP BY p.doc_id)
+        SELECT doc_id, md5(CASE WHEN n > 0 THEN m.text ELSE '' END) AS marked_md5, '' AS slot, md5(p.text) AS text_md5,
+          0 AS start, coalesce(first_pos, size)::INTEGER AS "end", 0 AS line
+        FROM prose p JOIN marked m USING (doc_id) WHERE regexp_replace(p.text, '[/*\s]', '', 'g') <> ''
+        UNION ALL
+        SELECT doc_id, md5(m.text), 'a' || slot,
+          md5(substr(left(t.text, length(t.text) - length(last_line) + length(last_kept)), (lead + 1)::BIGINT)),
+          (line_pos + lead)::INTEGER, e::INTEGER, k::INTEGER FROM tags t JOIN marked m USING (doc_id)""",
     "paired_comments": f"""{PAIRS} SELECT file, line::INTEGER AS line, col::INTEGER AS "column", kind, comment_text, code_text,
         left(sha256(comment_text || chr(0) || code_text || chr(0) || '3' || chr(0) || 'latest' || chr(0)), 32) AS id,
         octet_length(encode(comment_text))::INTEGER AS comment_bytes FROM pairs""",

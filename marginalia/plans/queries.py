@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import identity, paths, scoring, text
 from marginalia.operators import batching, edits, extraction
-from marginalia.operators.docblocks import split_docblocks
+from marginalia.operators.docblocks import split_docblock
 from marginalia.operators.filtering import filter_counts, with_disposition
 from marginalia.operators.policy import classify
 from marginalia.operators.ranges import in_scope, parse_hunks
@@ -305,11 +305,10 @@ def scored_verdicts(spark, sf_dir):
 
 @query
 def docblock_parts(spark, sf_dir):
-    whole = F.struct(F.lit("").alias("slot"), col("block").alias("text"), F.lit(0).alias("start"), F.lit(0).alias("end"),
-                     F.lit(0).alias("line"), F.lit(0).alias("at"))
-    rows = split_docblocks(A.docblocks(spark, sf_dir), "block", F.lit(True), whole)
-    return rows.select("doc_id", F.md5(col("block_text").cast("binary")).alias("marked_md5"), F.explode("parts").alias("p")).select(
-        "doc_id", "marked_md5", "p.slot", F.md5(col("p.text").cast("binary")).alias("text_md5"), "p.start", "p.end", "p.line")
+    rows = A.docblocks(spark, sf_dir).withColumn("split", split_docblock(col("block")))
+    return rows.select("doc_id", F.md5(col("split.block_text").cast("binary")).alias("marked_md5"), F.explode(
+        "split.parts").alias("p")).select("doc_id", "marked_md5", "p.slot", F.md5(col("p.text").cast("binary")).alias(
+            "text_md5"), "p.start", "p.end", "p.line")
 
 
 def _extract(sources, **changes):

@@ -26,7 +26,7 @@ def look_up(findings: DataFrame, entries: DataFrame, salt: Column, ttl_seconds:
     """
     mine = latest(entries.where(F.col("salt") == salt))
     if ttl_seconds > 0:
-        age = now.cast("timestamp").cast("double") - F.col("stored").cast("double")
+        age = now.cast("timestamp").cast("double") - F.col("stored").cast("timestamp").cast("double")
         mine = mine.where(age <= F.lit(float(ttl_seconds)))
     return spread_join(findings, mine.select("id", "verdict"), "id", spread_by)
 
