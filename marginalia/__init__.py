@@ -1,3 +1,10 @@
 """Comment-quality analytics on Spark: pair comments with code, score, classify, report, fix."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few Python functions that run in tasks travel with the plan, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
