@@ -188,10 +188,12 @@ def replace_file(path: str, expected: bytes, content: bytes) -> str:
 
 def write_edits(guarded: DataFrame) -> DataFrame:
     """Write files that passed the guard, from the tasks that hold them; ``(file, error)``."""
+    root = os.getcwd()
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"file": batch["file"], "error": [
-                replace_file(name, bytes(old), bytes(new))
+                replace_file(os.path.join(root, name), bytes(old), bytes(new))
                 for name, old, new in zip(batch["file"], batch["content"], batch["edited"])]})
 
     return guarded.where("ok").select("file", "content", "edited").mapInPandas(write, "file string, error string")

@@ -42,14 +42,13 @@ class Rendered:
     def save(self, path: str) -> None:
         """Write in parallel as ordered text parts, which joined end to end are the report."""
         spark = self.body.sparkSession
-        keyed = self.body.select(F.lit(1).alias("part"), *ORDER, "text")
+        keyed = self.body.select(F.lit(1).alias("part"), *ORDER, F.regexp_replace("text", r"\n\z", "").alias("text"))
         first = keyed.agg(F.min(F.struct(*ORDER))).scalar()
-        glue = F.when(F.struct(*ORDER) == first, F.lit("")).otherwise(F.lit(self.separator))
+        glue = F.when(F.struct(*ORDER) == first, F.lit("")).otherwise(F.lit(self.separator.strip()))
         rows = keyed.withColumn("text", F.concat(glue, "text"))
-        frame = spark.createDataFrame([(0, "", 0, 0, self.head), (2, "", 0, 0, self.tail)],
-                                      "part int, file string, line int, ord bigint, text string")
-        rows.unionByName(frame).orderBy("part", *ORDER).select("text").write.option("lineSep", "").mode(
-            "overwrite").text(path)
+        frame = [(k, "", 0, 0, text.strip("\n")) for k, text in ((0, self.head), (2, self.tail)) if text]
+        framed = spark.createDataFrame(frame, "part int, file string, line int, ord bigint, text string")
+        rows.unionByName(framed).orderBy("part", *ORDER).select("text").write.mode("overwrite").text(path)
 
 
 def _axis(name: str) -> dict[str, Column]:

@@ -228,7 +228,8 @@ def run(spark: SparkSession, options: Options) -> Report:
             scored, over = assess(planned, scorer, options.budget_cents / 100, store)
         except Exception as error:
             if options.soft_fail and (isinstance(error, TransportError) or TransportError.__name__ in str(error)):
-                return Report(None, {**info, "incomplete": True}, soft_failed=str(error).splitlines()[0])
+                said = [line.strip() for line in str(error).splitlines() if TransportError.__name__ in line]
+                return Report(None, {**info, "incomplete": True}, soft_failed=said[-1] if said else str(error))
             raise
         if over:
             stopped = BudgetError(f"budget exceeded: the run stopped after {options.budget_cents:.2f}¢")

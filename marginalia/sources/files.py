@@ -53,10 +53,12 @@ def scan_table(table: DataFrame, ignore=()) -> DataFrame:
 
 def read_sources(files: DataFrame) -> DataFrame:
     """Whole-file bytes, read where the tasks run; an unreadable file fails the run."""
+    root = os.getcwd()
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name in batch["file"]:
-                with open(name, "rb") as source:
+                with open(os.path.join(root, name), "rb") as source:
                     yield pd.DataFrame({"file": [name], "content": [source.read()]})
 
     return files.select("file").mapInPandas(read, SOURCES)
