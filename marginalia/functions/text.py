@@ -13,7 +13,7 @@ WS = H[:1] + r"\n" + H[1:]
 # Applied to the whole comment in order; m = per line, d = only \n ends a line.
 COMMENT_STEPS = (
     (rf"(?md)^{H}*(?:/\*\*)?(?:/\*)?", ""),
-    (rf"(?md)(?:\*/)?{H}*$", ""),
+    (rf"(?md)\*/{H}*$|{H}+$", ""),
     (r"(?md)^(?://)?#?\*?", ""),
     (rf"(?md)^{H}+|{H}+$", ""),
 )
@@ -47,7 +47,9 @@ def end_line(line: Column, text: Column) -> Column:
 
 def snippet(text: Column, limit: int) -> Column:
     """One line of at most ``limit`` characters, cut with an ellipsis."""
-    joined = F.regexp_replace(trim_ws(F.replace(text, F.lit("\r\n"), F.lit("\n"))), rf"{H}*\n{H}*", " ")
+    # trimming by two patterns that begin with a definite character is several times faster than by one
+    lines = F.regexp_replace(trim_ws(F.replace(text, F.lit("\r\n"), F.lit("\n"))), rf"\n{H}+", "\n")
+    joined = F.translate(F.regexp_replace(lines, rf"{H}+\n", "\n"), "\n", " ")
     return F.when(F.char_length(joined) <= limit, joined).otherwise(
         F.concat(F.substring(joined, 1, limit - 1), F.lit("…")))
 
