@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.operators.lookup import spread_join
+
 # Lines per bucket: ranges and findings meet in the buckets they touch, so a file with many of
 # both is spread over many join keys and no file's pairs are enumerated.
 BUCKET_LINES = 64
@@ -42,9 +44,11 @@ def in_scope(findings: DataFrame, ranges: DataFrame, *, line: str = "line", end:
     ``key`` names the columns that identify a finding within the input.
     """
     scoped = ranges.select("file").distinct()
-    whole = findings.join(scoped, "file", "left_anti")
-    spread = ranges.select("file", F.col("start").alias("_rs"), F.col("end").alias("_re"),
-                           F.explode(_buckets(F.col("start"), F.col("end"))).alias("_bucket")).distinct()
+    whole = spread_join(findings, scoped, "file", key, "left_anti")
+    # cut to their buckets, ranges are at most all pairs of a bucket's lines
+    first, final = F.col("_bucket") * BUCKET_LINES, F.col("_bucket") * BUCKET_LINES + BUCKET_LINES - 1
+    spread = ranges.select("file", "start", "end", F.explode(_buckets(F.col("start"), F.col("end"))).alias("_bucket")).select(
+        "file", "_bucket", F.greatest("start", first).alias("_rs"), F.least("end", final).alias("_re")).distinct()
     touched = (F.col(line) <= F.col("_re")) & (F.col(end) >= F.col("_rs"))
 
     def meet(rows, bucket):

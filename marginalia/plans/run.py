@@ -15,7 +15,7 @@ from marginalia import constants as C
 from marginalia import settings as S
 from marginalia.functions.identity import cache_salt
 from marginalia.operators import batching, edits
-from marginalia.operators.extraction import code_sources, findings, parse
+from marginalia.operators.extraction import code_sources, extract, parse
 from marginalia.operators.filtering import filter_counts, with_disposition
 from marginalia.operators.lookup import spread_join
 from marginalia.operators.policy import classify
@@ -171,17 +171,14 @@ def run(spark: SparkSession, options: Options) -> Report:
 
     sources, ranges, scope_mode, base = scope(spark, options, settings)
     texts = code_sources(sources, settings.languages)
-    parsed = durable(parse(texts))
-    for row in parsed.where("not ok").select("file", "error").limit(20).collect():
+    everything = durable(extract(parse(texts), texts, settings, rubric.version))
+    status = everything.select("file", "ok", "error").distinct()
+    for row in status.where("not ok").limit(20).collect():
         print(f"{settings.tool}: {row['file']}: skipped: {row['error']}", file=sys.stderr)
-    found = findings(parsed, texts, settings, rubric.version)
-    if ranges is None:
-        found = durable(found)
-        files = found.agg(F.count_distinct("file")).first()[0]
-    else:
-        everything = durable(found)
-        files = everything.agg(F.count_distinct("file")).first()[0]
-        found = in_scope(everything, ranges)
+    found = everything.where("kind is not null").drop("ok", "error")
+    files = found.agg(F.count_distinct("file")).first()[0]
+    if ranges is not None:
+        found = in_scope(found, ranges)
 
     known = None
     path = baseline_path(options)
@@ -254,7 +251,7 @@ def run(spark: SparkSession, options: Options) -> Report:
     info |= {**totals, "input_tokens": bill[0], "cost_usd": bill[1], "model": bill[2] or settings.model}
     info["usage_unknown"] = info["assessed"] > 0 and info["input_tokens"] == 0
 
-    report = Report(results, info, status=parsed.select("file", "ok", "error"), stopped=stopped)
+    report = Report(results, info, status=status, stopped=stopped)
     # what was paid for is reported, but nothing is edited or baselined from part of a run
     if stopped is None and options.mode == "fix":
         guarded = durable(edits.guard(edits.plan_edits(results, texts)))
