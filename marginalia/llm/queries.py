@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import language_id, line_dedup, near_dedup, token_codec
+from marginalia.llm import decontamination, language_id, line_dedup, near_dedup, token_codec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,13 @@ def op3_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in every document, literally or re-parameterised."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = decontamination.judge(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return judged.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of at least 40 characters that at least 5 documents hold stay in the last document only."""
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -41,7 +48,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_codec, op8_line_dedup, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_codec, op4_decontamination, op8_line_dedup, op10_near_dedup)}
 
 ORACLES: dict[str, str] = {}
 
