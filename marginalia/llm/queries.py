@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontamination, language_id, line_dedup, near_dedup, token_codec
+from marginalia.llm import decontamination, host_reputation, language_id, line_dedup, near_dedup, nearest, token_codec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows, by inner product, of every row whose id is divisible by 20."""
+    return nearest.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text, and the text they decode to, as digests."""
     return token_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False)
@@ -37,6 +42,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items")
 
 
+#: The rules of the contract, (host, path, verdict).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or reputation verdict of every page; the label of the same number is a page's outcome."""
+    bad = ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return host_reputation.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of at least 40 characters that at least 5 documents hold stay in the last document only."""
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -48,7 +65,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_codec, op4_decontamination, op8_line_dedup, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_nearest, op3_token_codec, op4_decontamination, op7_host_reputation, op8_line_dedup, op10_near_dedup)}
 
 ORACLES: dict[str, str] = {}
 
@@ -66,3 +83,46 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+ORACLES["op7_host_reputation"] = r"""
+WITH split AS (
+  SELECT page_id,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosted AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM split),
+outcome AS (
+  SELECT doc_id AS page_id, CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN toxic IS NULL OR quality IS NULL THEN NULL ELSE 0 END AS bad FROM labels),
+per_host AS (
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad,
+         CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN host ELSE regexp_extract(host, '([^.]*\.)?[^.]*$') END AS domain,
+         regexp_extract(host, '[^.]*$') AS suffix
+  FROM hosted LEFT JOIN outcome USING (page_id) GROUP BY host),
+per_domain AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM per_host GROUP BY ALL),
+per_suffix AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM per_domain GROUP BY ALL),
+corpus AS (SELECT CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n) ELSE 0.5 END AS rate FROM per_suffix),
+levels AS (
+  SELECT 0 AS level, s.n, s.bad, rate AS parent FROM per_suffix s, corpus
+  UNION ALL SELECT 1, d.n, d.bad, CASE WHEN s.n > 0 THEN s.bad / s.n ELSE rate END FROM per_domain d JOIN per_suffix s USING (suffix), corpus
+  UNION ALL SELECT 2, h.n, h.bad, CASE WHEN d.n > 0 THEN d.bad / d.n ELSE rate END FROM per_host h JOIN per_domain d USING (domain, suffix), corpus),
+moments AS (
+  SELECT level, sum(n * (bad / n - parent) * (bad / n - parent)) AS s, sum(parent * (1 - parent)) AS v, sum(parent * (1 - parent) * (n - 1)) AS w
+  FROM levels WHERE n > 0 GROUP BY level),
+strengths AS (
+  SELECT l.level, 1 / CASE WHEN w <> 0 THEN least(0.5, greatest(0.001, (s - v) / w)) ELSE 0.001 END - 1 AS k
+  FROM (VALUES (0), (1), (2)) AS l(level) LEFT JOIN moments USING (level)),
+k AS (SELECT max(k) FILTER (WHERE level = 0) AS k0, max(k) FILTER (WHERE level = 1) AS k1, max(k) FILTER (WHERE level = 2) AS k2 FROM strengths),
+known AS (
+  SELECT host, (k2 * (k1 * (k0 * rate + s.bad) / (k0 + s.n) + d.bad) / (k1 + d.n) + h.bad) / (k2 + h.n) AS mean, k2 + h.n AS weight
+  FROM per_host h JOIN per_domain d USING (domain, suffix) JOIN per_suffix s USING (suffix), corpus, k),
+ruled AS (
+  SELECT page_id, host, path,
+         CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+              WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+              WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+              WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM hosted)
+SELECT page_id, host, path, rule,
+       CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'net/' THEN 'block'
+            ELSE CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) > 0.25 THEN 'block' ELSE 'allow' END END AS verdict
+FROM ruled JOIN known USING (host)
+"""
