@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontamination, host_reputation, language_id, line_dedup, near_dedup, nearest, token_codec
+from marginalia.llm import decontamination, host_reputation, language_id, line_dedup, near_dedup, nearest, repeated_spans, token_codec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,12 +60,18 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 100-byte strings that start earlier in the corpus are removed from every document."""
+    kept = repeated_spans.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by a shingle similarity of 0.75 or more."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_nearest, op3_token_codec, op4_decontamination, op7_host_reputation, op8_line_dedup, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_nearest, op3_token_codec, op4_decontamination, op7_host_reputation, op8_line_dedup, op9_repeated_spans, op10_near_dedup)}
 
 ORACLES: dict[str, str] = {}
 
