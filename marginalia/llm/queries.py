@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontamination, host_reputation, language_id, line_dedup, near_dedup, nearest, repeated_spans, token_codec
+from marginalia.llm import decontamination, host_reputation, language_id, line_dedup, near_dedup, nearest, personal_data, repeated_spans, token_codec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: the patterns' spans, and those the random field adds."""
+    model = personal_data.train(personal_data.labelled_table())
+    found = personal_data.find(table(spark, sf_dir, "documents"), model)
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = personal_data.listing(F.col("base"))
+    return found.select("doc_id", *[count(k) for k in personal_data.KINDS], F.sha2(base, 256).alias("base_sha256"), personal_data.listing(F.col("spans")).alias("spans"))
+
+
 #: The rules of the contract, (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -71,7 +83,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_nearest, op3_token_codec, op4_decontamination, op7_host_reputation, op8_line_dedup, op9_repeated_spans, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_nearest, op3_token_codec, op4_decontamination, op6_personal_data, op7_host_reputation, op8_line_dedup, op9_repeated_spans, op10_near_dedup)}
 
 ORACLES: dict[str, str] = {}
 
