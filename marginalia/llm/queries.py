@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontamination, host_reputation, language_id, line_dedup, near_dedup, nearest, personal_data, repeated_spans, token_codec
+from marginalia.llm import decontamination, host_reputation, language_id, language_model, line_dedup, near_dedup, nearest, personal_data, repeated_spans, token_codec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items")
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and attention scores of every whole text; documents of fold 2 of 7 are never learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 7) == 2
+    scored = language_model.score(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text: the patterns' spans, and those the random field adds."""
     model = personal_data.train(personal_data.labelled_table())
@@ -83,7 +91,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_nearest, op3_token_codec, op4_decontamination, op6_personal_data, op7_host_reputation, op8_line_dedup, op9_repeated_spans, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_nearest, op3_token_codec, op4_decontamination, op5_language_model, op6_personal_data, op7_host_reputation, op8_line_dedup, op9_repeated_spans, op10_near_dedup)}
 
 ORACLES: dict[str, str] = {}
 
