@@ -34,7 +34,7 @@ from marginalia.llm.token_codec import codec, public_files
 
 HOT_WORDS = 1 << 19
 SAMPLE_BYTES = 1 << 20
-WIDTH, WINDOW, STRIDE = 16, 48, 32
+WIDTH, WINDOW, STRIDE = 24, 48, 32
 CLASSES = MEMBERS = 32
 END, OTHER = 0, 1
 _IDS = 50_257
@@ -159,7 +159,7 @@ def score_ids(model: dict, ids: np.ndarray, begins: np.ndarray, batch: int = 256
     return (out - others * np.log(model["rest"])) / np.log(10)
 
 
-def train(texts: list[str], files, steps: int = 400, batch: int = 96, rate: float = 0.01, seed: int = 5) -> dict:
+def train(texts: list[str], files, steps: int = 1000, batch: int = 96, rate: float = 0.02, seed: int = 5) -> dict:
     """Fit the model on texts: Adam on the cross entropy of random windows."""
     _, _, ids, begins = texts_as_ids(pa.array(texts, pa.string()), files)
     found, counts = np.unique(ids[ids >= 0], return_counts=True)

@@ -9,12 +9,15 @@ each. A pair of similarity s meets in no table with probability about ``2 * (1 -
 1. Texts of equal word sequences are one node, named by their least id.
 2. Half keys that only one node has are dropped before they are combined: unique texts, the bulk of a
    corpus, produce no table rows at all.
-3. In each table bucket every node meets the bucket's least node. Pairs whose sketches (a byte of each
+3. In each table bucket every node meets the bucket's hub, the node that meets most others over all its
+   buckets: for a group of copies with changes, the text they were made from, if it is there. Pairs whose sketches (a byte of each
    minhash) rule out the threshold are dropped, the others are confirmed on both full texts.
 4. Connected components over confirmed links. Within one component nothing is left to find, so only
-   buckets that hold several components go on: there all pairs across components are compared, by
-   sketch inside the task in square blocks of at most ``BLOCK`` nodes a side, and what passes is confirmed
-   on full texts. No bucket is ever expanded into rows of pairs, nor capped.
+   nodes go on that share a table key with another component. They get a sketch of ``BITS`` bits, meet by
+   half keys of the first collection (which every table key contains), and are compared across components
+   inside the tasks, in square blocks of at most ``BLOCK`` nodes a side. The few pairs that the sketch
+   cannot tell from the threshold are confirmed on full texts. No bucket is expanded into rows of pairs,
+   nor capped.
 
 Defined cases: null, empty and blank texts have the empty set, link with nothing and are kept; texts of
 one to four words are one shingle; rows of one id are one document with all its texts; a null id takes
@@ -39,6 +42,9 @@ GROUPS, WIDTH = 16, 3
 HASHES = 2 * GROUPS * WIDTH
 #: A pair at the threshold agrees on fewer sketch bytes with probability below 1e-6 (binomial, p = 0.75).
 SKETCH_AGREE = 50
+#: One-bit minhashes of the long sketch. At the threshold a pair differs in an eighth of them; more than
+#: BITS_DIFFER, four standard deviations above, happens with probability below 1e-4.
+BITS, BITS_DIFFER = 2048, 316
 BLOCK = 1024
 SIMILAR = (75, 100)
 
@@ -91,16 +97,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sketches = nodes.select("node", "sketch")
 
     keys = stored(_table_keys(nodes), "table-keys")
-    least = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("key", "head")
-    stars = keys.join(least, "key").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    keys = stored(keys.join(sizes, "key"), "shared-keys")
+    hubs = keys.groupBy("node").agg(F.sum("n").alias("met"))
+    heads_of = keys.join(hubs, "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("head"))
+    stars = keys.join(heads_of, "key").where("node <> head").select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")).distinct()
+    keys = keys.select("key", "node")
     links = stored(_confirm(_plausible(stars, sketches), base), "links")
     first = stored(components(links), "components")
 
     named = keys.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("key", "n")
-    rest = named.join(mixed, "key").join(sketches, "node")
-    across = _plausible_across(rest).distinct()
-    more = _confirm(across, base)
+    mixed = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+    rest = stored(named.join(mixed, "key", "left_semi").select("node", "component").distinct(), "open-nodes")
+    more = _confirm(_plausible_across(rest, nodes, base), base)
     merged = components(links.select("u", "v").unionByName(more))
 
     class_of = heads.join(merged, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
@@ -130,11 +139,44 @@ def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return met.mapInArrow(agree, "u long, v long").distinct()
 
 
-def _plausible_across(rest: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket whose sketches agree, from ``key, node, component, n, sketch``."""
+def long_sketch(column: pa.Array) -> list[bytes]:
+    """``BITS`` one-bit minhashes of each row."""
+    hashed, at = words(column)
+    marks, begins = shingles(hashed, at)
+    first, second = _bit_constants()
+    out = []
+    for low, high in zip(begins[:-1], begins[1:], strict=True):
+        least = np.full(BITS, np.uint32(0xFFFFFFFF))
+        for k in range(low, high, 256):
+            own = marks[k : min(k + 256, high)]
+            least = np.minimum(least, ((own >> np.uint64(32)).astype(np.uint32)[:, None] * first + own.astype(np.uint32)[:, None] * second).min(0))
+        out.append(np.packbits((least * second) >> np.uint32(31)).tobytes())
+    return out
+
+
+def _bit_constants() -> tuple[np.ndarray, np.ndarray]:
+    odd = mix(np.arange(5001, 5001 + 2 * BITS, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+    return odd[:BITS], odd[BITS:]
+
+
+def _plausible_across(rest: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of different components that share a half key of the first collection and whose long sketches agree.
+
+    ``rest`` has ``node, component`` of the nodes that are left; only their texts are read again.
+    """
+    def sketch(batches):
+        for batch in batches:
+            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(long_sketch(part.column(1)), pa.binary())], ["node", "sketch"])
+
+    long = texts.join(rest.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text").mapInArrow(sketch, "node long, sketch binary")
+    rows = (rest.join(nodes.select("node", F.explode(F.slice("half", 1, GROUPS)).alias("key")), "node")
+            .select("key", "node", "component"))
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key", "n")
+    held = stored(long, "long-sketches")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = (rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = (rows.join(several, "key").join(held, "node").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
              .select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "component", "sketch"))
     grouped = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
@@ -144,7 +186,7 @@ def _plausible_across(rest: DataFrame) -> DataFrame:
         def pairs(table: pa.Table):
             node, comp = table["node"].to_numpy(), table["component"].to_numpy()
             lo, hi, mine = table["lo"].to_numpy(), table["hi"].to_numpy(), table["mine"].to_numpy()
-            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, HASHES)
+            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
             edge = np.flatnonzero(np.concatenate([[True], (table["key"].to_numpy()[1:] != table["key"].to_numpy()[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
             u, v = [], []
             for a, b in zip(edge, [*edge[1:], len(node)], strict=True):
@@ -152,7 +194,7 @@ def _plausible_across(rest: DataFrame) -> DataFrame:
                 right = left if lo[a] == hi[a] else a + np.flatnonzero(mine[a:b] == hi[a])
                 for k in left:
                     to = right[(comp[right] != comp[k]) & (node[right] > node[k])] if lo[a] == hi[a] else right[comp[right] != comp[k]]
-                    to = to[(sketch[to] == sketch[k]).sum(1) >= SKETCH_AGREE]
+                    to = to[np.bitwise_count(sketch[to] ^ sketch[k]).sum(1, dtype=np.int64) <= BITS_DIFFER]
                     u += [np.maximum(node[to], node[k])]
                     v += [np.minimum(node[to], node[k])]
             u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
@@ -175,7 +217,7 @@ def _plausible_across(rest: DataFrame) -> DataFrame:
         if open_rows:
             yield pairs(pa.Table.from_batches(open_rows))
 
-    return grouped.mapInArrow(compare, "u long, v long")
+    return grouped.mapInArrow(compare, "u long, v long").distinct()
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
