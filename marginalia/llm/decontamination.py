@@ -36,7 +36,7 @@ PART_WORDS = 2_000_000
 # What counts as a number word and as a unit.
 NUMBER_WORDS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
                 "eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion").split()
-UNITS = ("mm cm m km g mg kg t l ml mph kmh s h min sec hz khz mhz ghz v w kw kwh mb gb tb inch inches feet foot yard yards mile miles "
+UNITS = ("mm cm m km g mg kg t lb lbs oz l ml mph kmh s h min sec hz khz mhz ghz v w kw kwh mb gb tb inch inches feet foot yard yards mile miles "
          "meter meters metre metres kilometer kilometers gram grams kilogram kilograms liter liters litre litres second seconds minute "
          "minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents pound pounds percent "
          "degree degrees").split()

@@ -35,8 +35,10 @@ def learn(texts: list[tuple[str, str]], order: int = 4, least: int = 4, most_con
     most frequent ``most_contexts`` of each order: the model's size is bounded whatever the sample.
     """
     langs = sorted({lang for lang, _ in texts})
+    if not langs:
+        return {"langs": []}
     data = [np.frombuffer("\n".join(t for g, t in texts if g == lang).encode(), np.uint8) for lang in langs]
-    seen = np.unique(np.concatenate(data)) if langs else np.zeros(0, np.uint8)
+    seen = np.unique(np.concatenate(data))
     symbol = np.full(256, len(seen), np.int64)  # the last symbol stands for all bytes that no sample holds
     symbol[seen] = np.arange(len(seen))
     size = len(seen) + 1

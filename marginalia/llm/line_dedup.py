@@ -10,7 +10,8 @@ without a suspected line are finished where they are read; the others meet their
 
 Defined cases: a null text is one empty line and comes back as the empty text; rows of one id count as one
 document and are each edited; a null id counts as one document that never survives another; repeated
-lines within the surviving document stay; ties cannot arise beyond equal ids. Extra columns pass through.
+lines within the surviving document stay; ties cannot arise beyond equal ids. Extra columns pass through, but
+for those of the names it adds (and ``_mark``, ``_drop``), which are replaced.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     """``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text``, the remaining lines joined by line breaks."""
     spark = docs.sparkSession
     added = ("n_lines", "n_dropped", "kept_text")
-    docs = docs.select([c for c in docs.columns if c not in added])
+    docs = docs.select([c for c in docs.columns if c not in (*added, "_mark", "_drop")])
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
     def hashes(batch):
