@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import twice_filter
 from marginalia.llm.arrow_text import _power_pair, mix, slices, utf8
-from marginalia.llm.storage import stored
 
 LENGTH, GRAM = 100, 24
 GRAMS = LENGTH - GRAM + 1
@@ -153,16 +152,20 @@ def removed_starts(texts: DataFrame) -> DataFrame:
                 at = np.flatnonzero(which)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own[at]), pa.array(mark[at]), pa.array(first[at]), pa.array(last[at]),
-                     pa.array(anchor[at].view(np.int64)) if bucket else pa.nulls(len(at), pa.int64()), pa.array([text[k] for k in at], pa.binary()) if bucket else pa.nulls(len(at), pa.binary())],
+                     pa.array((anchor[at] if bucket else mix(whole[at] + first[at].view(np.uint64))).view(np.int64)), pa.array([text[k] for k in at], pa.binary()) if bucket else pa.nulls(len(at), pa.binary())],
                     ["id", "mark", "first", "last", "anchor", "context"])
 
     runs = "id long, mark long, first long, last long"
-    sent = stored(texts.select("id", "mark", "text").mapInArrow(contexts, runs + ", anchor long, context binary"), "contexts")
-    dealt = sent.where(F.col("anchor").isNotNull()).repartition("anchor").sortWithinPartitions("anchor", "id", "mark", "first")
+    sent = texts.select("id", "mark", "text").mapInArrow(contexts, runs + ", anchor long, context binary")
+    # What is settled already comes along, dealt evenly and without its context.
+    dealt = sent.repartition("anchor").sortWithinPartitions("anchor", "id", "mark", "first")
 
     def judge(batches):
         open_rows: pa.Table | None = None
         for batch in batches:
+            settled = pc.is_null(batch.column(5))
+            yield batch.filter(settled).select(["id", "mark", "first", "last"])
+            batch = batch.filter(pc.invert(settled))
             now = pa.Table.from_batches([batch]) if open_rows is None else pa.concat_tables([open_rows, pa.Table.from_batches([batch])])
             total = pc.sum(pc.binary_length(now["context"])).as_py() or 0
             if total < SORTED_AT_ONCE:
@@ -175,7 +178,7 @@ def removed_starts(texts: DataFrame) -> DataFrame:
             for done, _ in _factors(open_rows, last=True):
                 yield done
 
-    return sent.where(F.col("anchor").isNull()).select("id", "mark", "first", "last").unionByName(dealt.mapInArrow(judge, runs))
+    return dealt.mapInArrow(judge, runs)
 
 
 def _factors(rows: pa.Table, last: bool):
