@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def durable(rows: DataFrame) -> DataFrame:
-    """Checkpoint into the folder ``spark.checkpoint.dir`` names; a temporary one only where none is set."""
+    """Checkpoint into the folder ``spark.checkpoint.dir`` names; a temporary one only in local mode where none is set."""
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="marginalia-checkpoints-"))
     return rows.checkpoint(eager=True)

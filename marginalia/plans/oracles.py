@@ -472,4 +472,9 @@ ORACLES: dict[str, str] = {
           AS edited_md5
         FROM source GROUP BY file, doc_id, lang, stop HAVING count(*) FILTER (i % 4 = 2) > 0""",
     "file_diffs": _DIFF,
+    "markup_comments": """SELECT 'm' || doc_id || '.tsx' AS file, 4 AS line, '// Keep ' || doc_id || ' in mind here' AS comment_text
+        FROM documents""",
+    "duplicate_paths": """SELECT CASE WHEN count(*) OVER (PARTITION BY path) > 1 THEN '#' || substr(digest, 1, 12) || '/' ELSE '' END || path
+          AS file, digest
+        FROM (SELECT DISTINCT 'p' || (doc_id % 300) || '.go' AS path, sha256(text) AS digest FROM documents)""",
 }

@@ -20,6 +20,7 @@ from marginalia.plans import reports
 from marginalia.scorers.recorded import Recorded, RecordedScorer
 from marginalia.settings import Settings, load_rubric
 from marginalia.sources.baseline import baseline_entries
+from marginalia.sources.files import scan_table
 from marginalia.sources.verdict_cache import latest, look_up
 
 col = F.col
@@ -345,6 +346,26 @@ def file_status(spark, sf_dir):
     return parsed.select("file", "ok", F.when(col("ok"), F.size("found")).otherwise(0).alias("comments"))
 
 
+@query
+def markup_comments(spark, sf_dir):
+    """Comments of script files whose markup holds text that looks like one."""
+    title = F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", "")
+    number = col("doc_id").cast("string")
+    content = F.concat(F.lit("export const A = () => (\n  <p>"), title, F.lit(" see http://x.example/"), number, F.lit(
+        " for more</p>\n)\n// Keep "), number, F.lit(" in mind here\nconst b = 1\n"))
+    rows = A.table(spark, sf_dir, "documents").select(F.concat(F.lit("m"), number, F.lit(".tsx")).alias("file"), F.encode(content, "UTF-8").alias("content"))
+    found, _ = _extract(rows)
+    return found.select("file", "line", "comment_text")
+
+
+@query
+def duplicate_paths(spark, sf_dir):
+    """A corpus in which paths repeat, with equal and with different contents."""
+    rows = A.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("p"), (col("doc_id") % 300).cast("string"), F.lit(".go")).alias("file"), F.encode("text", "UTF-8").alias("content"))
+    return scan_table(rows).select("file", F.sha2("content", 256).alias("digest"))
+
+
 def _planned(spark, sf_dir):
     rows, texts = _extract(A.sources(spark, sf_dir))
     doomed = rows.withColumn("action", F.when(col("kind") == "trailing", "delete").otherwise("keep"))

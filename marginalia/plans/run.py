@@ -7,6 +7,7 @@ import sys
 import time
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +115,7 @@ def scope(spark: SparkSession, options: Options, settings: S.Settings):
 
 
 def baseline_path(options: Options) -> str:
+    """The baseline to read or write; an explicit one is never skipped, wherever it lies."""
     if options.baseline_path or options.mode == "baseline":
         return options.baseline_path or FILE_NAME
     return FILE_NAME if os.path.exists(FILE_NAME) else ""
@@ -171,9 +173,11 @@ def run(spark: SparkSession, options: Options) -> Report:
 
     sources, ranges, scope_mode, base = scope(spark, options, settings)
     texts = code_sources(sources, settings.languages)
+    if options.mode == "fix":
+        texts = durable(texts)  # edits are planned on, and compared with, the very bytes that were scored
     everything = durable(extract(parse(texts), texts, settings, rubric.version))
     status = everything.select("file", "ok", "error").distinct()
-    for row in status.where("not ok").limit(20).collect():
+    for row in status.where("not ok").orderBy("file").toLocalIterator():
         print(f"{settings.tool}: {row['file']}: skipped: {row['error']}", file=sys.stderr)
     found = everything.where("kind is not null").drop("ok", "error")
     files = found.agg(F.count_distinct("file")).first()[0]
@@ -182,8 +186,11 @@ def run(spark: SparkSession, options: Options) -> Report:
 
     known = None
     path = baseline_path(options)
-    if path and options.mode != "baseline" and os.path.exists(path):
-        known = read_baseline(spark, path)
+    if path and options.mode != "baseline":
+        try:
+            known = read_baseline(spark, path)
+        except AnalysisException as error:
+            raise S.ConfigError(f"baseline {path} cannot be read") from error
     judged = durable(with_disposition(found, settings, known))
     counts = filter_counts(judged).first()
     kept = judged.where("disposition = 'kept'").drop("disposition", "ignore_next")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from marginalia.constants import SKIP_DIRS
 from marginalia.functions.paths import glob_to_regex, matches_any
 from marginalia.operators.ranges import parse_hunks
+from marginalia.plans.durable import durable
 from marginalia.schemas import RANGES, SOURCES
 
 PATHS_PER_TASK = 256
@@ -24,7 +25,7 @@ class ScopeError(RuntimeError):
 
 
 def walk(paths) -> Iterator[str]:
-    """Files under the given paths; names only, so a driver walks millions in bounded memory."""
+    """Files under the given paths, names only (S1); a corpus too large for one walk comes as a table."""
     for given in paths or (".",):
         root = given.removesuffix("/...") or "."
         if not os.path.exists(root):
@@ -38,7 +39,7 @@ def walk(paths) -> Iterator[str]:
 
 
 def scan_paths(spark: SparkSession, paths=(), ignore=()) -> DataFrame:
-    """``(file)`` under the paths, without ignored ones and each once, in path order."""
+    """``(file)`` under the paths, without ignored ones and each once (S1, F0, U1); results are ordered where they are reported."""
     skip = re.compile("|".join(f"(?:{glob_to_regex(p)})" for p in ignore)) if ignore else None
     names = [(path,) for path in walk(paths) if not (skip and skip.search(path.replace("\\", "/").removeprefix("./")))]
     parts = max(1, -(-len(names) // PATHS_PER_TASK))
@@ -47,8 +48,25 @@ def scan_paths(spark: SparkSession, paths=(), ignore=()) -> DataFrame:
 
 
 def scan_table(table: DataFrame, ignore=()) -> DataFrame:
-    """A table of ``(file, content)`` as the corpus: the form a large cluster reads."""
-    return table.where(~matches_any(F.col("file"), ignore)).dropDuplicates(["file"])
+    """A table of ``(file, content)`` as the corpus: the form a large cluster reads.
+
+    A column ``repo`` keeps equal paths of different repositories apart: it leads the path. Rows that are
+    equal in path and content count once. Different contents under one path are all kept, each under a folder
+    named by its digest. Only paths that occur twice are looked at again; without any, the table is
+    read as it is and no content is shuffled.
+    """
+    if "repo" in table.columns:
+        table = table.withColumn("file", F.concat_ws("/", "repo", "file"))
+    rows = table.where(~matches_any(F.col("file"), ignore)).select("file", "content").withColumn("digest", F.sha2("content", 256))
+    per_file = rows.groupBy("file", "digest").agg(F.count(F.lit(1)).alias("n")).groupBy("file").agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("contents"))
+    again = durable(per_file.where("rows > 1"))
+    if again.isEmpty():
+        return rows.select("file", "content")
+    marked = rows.join(again, "file", "left")
+    twice = marked.where("rows > 1").dropDuplicates(["file", "digest"])
+    named = F.when(F.col("contents") > 1, F.concat(F.lit("#"), F.substring("digest", 1, 12), F.lit("/"), "file")).otherwise(F.col("file"))
+    return marked.where("rows is null").select("file", "content").unionByName(twice.select(named.alias("file"), "content"))
 
 
 def read_sources(files: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import os
 import subprocess
 import xml.etree.ElementTree as ET
+from dataclasses import fields
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ from marginalia.plans.reports import render
 from marginalia.plans.run import BudgetError, CiWriteError, NoApiKeyError, Options, run
 from marginalia.scorers.http import HttpScorer, TransportError
 from marginalia.scorers.recorded import Recorded, RecordedScorer
-from marginalia.settings import Settings, load_rubric
-from marginalia.sources.files import ScopeError, resolve_base, scan_paths
+from marginalia.settings import ConfigError, Settings, load_rubric
+from marginalia.sources.files import ScopeError, resolve_base, scan_paths, scan_table
 
 SHOP = b'''// Package shop sells things.
 package shop
@@ -196,6 +197,45 @@ def test_files_changed_meanwhile_are_left_alone(tmp_path):
     assert edits.replace_file(str(path), b"new", b"edited") == ""
 
 
+def test_a_file_changed_while_it_was_scored_is_left_alone(spark, tmp_path):
+    path = shop(tmp_path)
+    file, newer = os.path.join(path, "shop.go"), b"// A header that came meanwhile, quite long.\n" + SHOP
+
+    class Slow(RecordedScorer):
+        def score(self, planned):
+            with open(file, "wb") as out:
+                out.write(newer)
+            return super().score(planned)
+
+    report = run(spark, options(path, mode="fix", profile="strict", scorer=Slow(**{f.name: getattr(SCORER, f.name) for f in fields(SCORER)})))
+    row = report.fixes.first()
+    assert "changed on disk" in row["error"] and open(file, "rb").read() == newer
+
+
+def test_every_skipped_file_is_named(spark, tmp_path, capsys):
+    path = shop(tmp_path)
+    for k in range(30):
+        with open(os.path.join(path, f"bad{k:02}.go"), "w") as out:
+            out.write("package p\n\nfunc f( {\n// Never closed here.\n")
+    run(spark, options(path))
+    said = capsys.readouterr().err
+    assert sum(f"bad{k:02}.go" in said for k in range(30)) == 30
+
+
+def test_a_named_baseline_must_be_readable(spark, tmp_path):
+    with pytest.raises(ConfigError):
+        run(spark, options(shop(tmp_path), baseline_path="file:///nowhere/entries"))
+
+
+def test_equal_paths_with_different_contents_are_all_kept(spark):
+    rows = [("a.go", b"package a\n"), ("a.go", b"package b\n"), ("a.go", b"package b\n"), ("b.go", b"package c\n"), ("b.go", b"package c\n"), ("c.go", b"package d\n")]
+    got = sorted((r.file, bytes(r.content)) for r in scan_table(spark.createDataFrame(rows, "file string, content binary")).collect())
+    assert [f for f, _ in got if not f.startswith("#")] == ["b.go", "c.go"]
+    assert sorted(c for f, c in got if f.startswith("#") and f.endswith("/a.go")) == [b"package a\n", b"package b\n"] and len(got) == 4
+    apart = spark.createDataFrame([("one", "a.go", b"package a\n"), ("two", "a.go", b"package b\n")], "repo string, file string, content binary")
+    assert sorted(r.file for r in scan_table(apart).collect()) == ["one/a.go", "two/a.go"]
+
+
 def test_baseline_silences(spark, tmp_path):
     path, baseline = shop(tmp_path), str(tmp_path / "baseline.json")
     run(spark, options(path, mode="baseline", baseline_path=baseline))
