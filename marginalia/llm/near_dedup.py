@@ -103,6 +103,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     heads_of = keys.join(hubs, "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("head"))
     stars = keys.join(heads_of, "key").where("node <> head").select(F.greatest("node", "head").alias("u"), F.least("node", "head").alias("v")).distinct()
     keys = keys.select("key", "node")
+    # Only these can be candidates: all later steps read their texts from here.
+    base = stored(base.join(hubs.select(F.col("node").alias("id")), "id", "left_semi"), "open-texts")
     links = stored(_confirm(_plausible(stars, sketches), base), "links")
     first = stored(components(links), "components")
 
