@@ -28,7 +28,7 @@ from marginalia.llm.arrow_text import slices, utf8
 UNKNOWN = "und"
 
 
-def learn(texts: list[tuple[str, str]], order: int = 4, least: int = 4, most_contexts: int = 24_000) -> dict:
+def learn(texts: list[tuple[str, str]], order: int = 4, least: int = 4, most_contexts: int = 12_000) -> dict:
     """Count ``(lang, text)`` pairs into one table of bits per context, byte and language.
 
     A context longer than one byte is kept where it occurs ``least`` times in all languages together, the
@@ -44,7 +44,7 @@ def learn(texts: list[tuple[str, str]], order: int = 4, least: int = 4, most_con
     size = len(seen) + 1
     coded = [symbol[d] for d in data]
     # Context 0 is the empty one. grow[k][parent, byte before it] is the context one byte longer, or 0.
-    bits = [_bits(coded, [np.zeros(len(c), np.int64) for c in coded], 1, size, np.full((1, size, len(langs)), 8.0))]
+    bits = [_bits(coded, [np.zeros(len(c), np.int64) for c in coded], 1, size, np.full((1, size, len(langs)), 8.0, np.float32))]
     nodes = [np.zeros(len(c), np.int64) for c in coded]  # each position's context of this order, -1: none
     grow, base = [], 1
     for k in range(1, order + 1):
@@ -66,12 +66,12 @@ def learn(texts: list[tuple[str, str]], order: int = 4, least: int = 4, most_con
         base += len(keys)
     starts = np.cumsum([0, *[len(b) for b in bits]])
     return {"langs": langs, "symbol": symbol.astype(np.int32), "size": size, "grow": grow, "first": starts.astype(np.int64),
-            "bits": np.concatenate(bits).astype(np.float32).reshape(-1, len(langs))}
+            "bits": np.concatenate(bits).reshape(-1, len(langs))}
 
 
 def _bits(coded, nodes, contexts, size, shorter):
     """Bits of every symbol in every context for each language, escapes to ``shorter`` included."""
-    out = np.array(shorter, np.float64)
+    out = np.array(shorter, np.float32)
     for lang, (codes, node) in enumerate(zip(coded, nodes, strict=True)):
         ok = node >= 0
         counts = np.bincount(node[ok] * size + codes[ok], minlength=contexts * size).reshape(contexts, size)
