@@ -382,6 +382,18 @@ ORACLES: dict[str, str] = {
     "report_github": f"""{_STRICT} SELECT file, line, ord, '::' || CASE WHEN severity = 'info' THEN 'notice' ELSE severity END
         || ' file=' || file || ',line=' || line || ',col=1,title=' || rule || '::' || {_MESSAGE} || chr(10) AS text
         FROM results WHERE action <> 'keep'""",
+    "report_rdjson": f"""{_STRICT}, m AS (SELECT *, '{{"start":{{"line":' || line || ',"column":1}},"end":{{"line":' || line || ',"column":1}}}}' AS span
+          FROM results WHERE action <> 'keep')
+        SELECT file, line, ord, '    {{"message":' || to_json({_MESSAGE})::VARCHAR || ',"location":{{"path":' || to_json(file)::VARCHAR || ',"range":' || span
+          || '}},"severity":"' || upper(severity) || '","code":{{"value":"' || rule || '"}}'
+          || CASE WHEN action = 'delete' THEN ',"suggestions":[{{"range":' || span || ',"text":""}}]' ELSE '' END || '}}' AS text FROM m""",
+    "report_sarif": f"""{_STRICT}, m AS (SELECT *, '"artifactLocation":{{"uri":' || to_json(file)::VARCHAR || '}}' AS artifact,
+            '{{"startLine":' || line || ',"startColumn":1,"byteOffset":0,"byteLength":' || octet_length(encode(comment_text)) || '}}' AS region
+          FROM results WHERE action <> 'keep')
+        SELECT file, line, ord, '        {{"ruleId":"' || rule || '","level":"' || CASE severity WHEN 'info' THEN 'note' ELSE severity END
+          || '","message":{{"text":' || to_json({_MESSAGE})::VARCHAR || '}},"locations":[{{"physicalLocation":{{' || artifact || ',"region":' || region || '}}}}]'
+          || CASE WHEN action = 'delete' THEN ',"fixes":[{{"description":{{"text":"Delete the comment"}},"artifactChanges":[{{' || artifact
+               || ',"replacements":[{{"deletedRegion":' || region || '}}]}}]}}]' ELSE '' END || '}}' AS text FROM m""",
     "report_checkstyle": f"""{_STRICT}, m AS (SELECT *, {_MESSAGE} AS msg,
           row_number() OVER (PARTITION BY file ORDER BY line, ord) = 1 AS opens,
           row_number() OVER (PARTITION BY file ORDER BY line DESC, ord DESC) = 1 AS closes

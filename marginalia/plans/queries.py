@@ -258,16 +258,13 @@ RUN_LABELS = {
     "baselined": 0, "input_tokens": 0, "cost_usd": 0.0, "usage_unknown": False, "incomplete": False, "duration_ms": 0,
     "deleted_comments": 0, "error": 0, "warning": 0, "info": 0, "deleted": 0,
 }
-for _name in ("text", "json", "github", "rdjson", "checkstyle"):
+for _name in ("text", "json", "sarif", "github", "rdjson", "checkstyle"):
     QUERIES[f"report_{_name}"] = _report(_name)
 
 
 @query
 def sarif_rules(spark, sf_dir):
-    rows = reportable(_results(spark, sf_dir, "strict"))
-    return rows.groupBy("rule").agg(F.max_by("severity", F.struct("file", "line", "ord")).alias("severity")).select(
-        "rule", F.when(col("severity") == "info", "note").otherwise(col("severity")).alias("level"),
-        scoring.rule_description(col("rule")).alias("description"))
+    return reports.sarif_rules(_results(spark, sf_dir, "strict"))
 
 
 # --- requests --------------------------------------------------------------------------------

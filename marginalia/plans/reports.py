@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marginalia import constants as C
 from marginalia.functions.paths import slashed
-from marginalia.functions.scoring import bar, message
+from marginalia.functions.scoring import bar, message, rule_description
 from marginalia.functions.text import snippet
 from marginalia.operators.summary import report_order, reportable
 
@@ -126,6 +126,13 @@ def render_json(results: DataFrame, run: dict) -> Rendered:
     return Rendered(head, _body(results, F.concat(F.lit("    "), row)), ",\n", tail)
 
 
+def sarif_rules(results: DataFrame) -> DataFrame:
+    """``(rule, level, description)`` of every rule that is reported; the last row's severity counts."""
+    found = reportable(results).groupBy("rule").agg(F.max_by("severity", F.struct(*ORDER)).alias("severity"))
+    level = F.when(col("severity") == "info", "note").otherwise(col("severity"))
+    return found.select("rule", level.alias("level"), rule_description(col("rule")).alias("description"))
+
+
 def render_sarif(results: DataFrame, run: dict) -> Rendered:
     level = F.when(col("severity") == "info", "note").otherwise(col("severity"))
     region = _struct(startLine=col("line"), startColumn=col("column"), byteOffset=col("comment.start"),
@@ -139,9 +146,8 @@ def render_sarif(results: DataFrame, run: dict) -> Rendered:
         locations=F.array(_struct(physicalLocation=_struct(artifactLocation=artifact, region=region))),
         fixes=F.when(col("action") == "delete", fix)))
     # one row per rule id, of which there are eight
-    found = reportable(results).groupBy("rule").agg(F.max_by("severity", F.struct(*ORDER)).alias("severity")).orderBy("rule")
-    rules = [{"id": r["rule"], "shortDescription": {"text": C.RULE_DESCRIPTIONS.get(r["rule"], r["rule"])},
-              "defaultConfiguration": {"level": C.SARIF_LEVELS[r["severity"]]}} for r in found.collect()]
+    rules = [{"id": r["rule"], "shortDescription": {"text": r["description"]}, "defaultConfiguration": {"level": r["level"]}}
+             for r in sarif_rules(results).orderBy("rule").collect()]
     head, tail = _document({
         "$schema": C.SARIF_SCHEMA, "version": C.SARIF_VERSION,
         "runs": [{"tool": {"driver": {"name": run["tool"], "version": run["version"], "rules": rules}}, "results": "@rows@"}],
