@@ -7,7 +7,7 @@ import corpus_pipeline as cp
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from test_operators import classes_of, shingle_sets
+from test_llm_operators import classes_of, shingle_sets
 
 from marginalia.llm import token_codec
 
