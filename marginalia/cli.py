@@ -83,6 +83,12 @@ def _run(spark, args, scorer) -> int:
     if report.soft_failed:
         print(f"marginalia: soft-failed: {report.soft_failed}", file=sys.stderr)
         return C.EXIT_OK
+    if args.output and args.output.endswith("/") and args.verb == "check":
+        report.save(args.output, args.format)  # a folder: written in parallel, as ordered text parts
+        if report.stopped is not None:
+            raise report.stopped
+        threshold = fail_on_rank(args.fail_on)
+        return C.EXIT_FINDINGS if threshold and report.run["worst"] >= threshold else C.EXIT_OK
     out = open(args.output, "w", encoding="utf-8") if args.output else sys.stdout
     try:
         if args.verb == "fix" and (args.diff or args.dry_run):

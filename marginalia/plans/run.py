@@ -87,6 +87,11 @@ class Report:
     soft_failed: str = ""
     diffs: DataFrame | None = field(default=None, repr=False)
 
+    def save(self, path: str, format_: str = "text") -> None:
+        """The report as ordered text parts in a folder, written by the tasks."""
+        if self.results is not None:
+            render(format_, self.results, self.run).save(path)
+
     def write(self, out, format_: str = "text", color: bool = False) -> None:
         if self.results is not None:
             render(format_, self.results, self.run, color).write(out)
@@ -197,6 +202,9 @@ def run(spark: SparkSession, options: Options) -> Report:
 
     api_key = os.environ.get(settings.api_key_env, "")
     salt = cache_salt(api_key)
+    local = spark.sparkContext.master.startswith("local[")
+    if not (options.no_cache or local) and settings.cache_dir == S.default_cache_dir() and not os.environ.get("MARGINALIA_CACHE_DIR"):
+        raise S.ConfigError("set the cache folder to one that all executors share, or run without a cache")
     cache = None if options.no_cache else VerdictCache(spark, settings.cache_dir)
     if cache is None:
         kept = kept.withColumn("cached", F.lit(None).cast(VERDICT))

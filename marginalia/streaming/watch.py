@@ -16,10 +16,16 @@ def watch(sources: DataFrame, options: Options, out: str) -> DataStreamWriter:
 
     A batch's results replace what an earlier attempt at the same batch wrote, so a restarted
     query leaves each result once; the verdict cache keeps a repeated batch from being paid for
-    again. The caller starts the writer with a checkpoint location.
+    again. The caller starts the writer with a checkpoint location. A batch that the budget stopped or
+    whose scorer failed softly is not complete: it is not written, the query fails and a restart
+    takes the batch up again.
     """
     def check(batch: DataFrame, batch_id: int) -> None:
         report = run(batch.sparkSession, replace(options, mode="check", sources=batch))
+        if report.stopped is not None:
+            raise report.stopped
+        if report.results is None:
+            raise RuntimeError(f"batch {batch_id} was not scored: {report.soft_failed}")
         report.results.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
 
     return sources.writeStream.foreachBatch(check)

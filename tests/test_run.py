@@ -376,12 +376,27 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["cache", "stats"]) == 0 and "9 cached verdicts" in capsys.readouterr().out
     assert cli.main(["check", path, "--no-dotenv", "--fail-on", "never", "--format", "json", "-o", str(tmp_path / "o.json")], SCORER) == 0
     assert json.loads((tmp_path / "o.json").read_text())["run"]["cached"] == 9
+    assert cli.main(["check", path, "--no-dotenv", "--fail-on", "never", "--format", "json", "-o", str(tmp_path / "parts") + "/"], SCORER) == 0
+    parts = sorted(p for p in os.listdir(tmp_path / "parts") if p.startswith("part-"))
+    assert len(json.loads("".join((tmp_path / "parts" / p).read_text() for p in parts))["results"]) > 0
     assert cli.main(["cache", "clear"]) == 0 and cli.main(["cache", "stats"]) == 0
     assert "0 cached verdicts" in capsys.readouterr().out
     assert cli.main(["check", path, "--budget", "0.0001"], SCORER) == 3
     assert cli.main(["check", str(tmp_path / "absent")], SCORER) == 2
 
 
+def test_a_stopped_batch_is_not_written(spark, tmp_path):
+    from marginalia.streaming.watch import watch
+
+    incoming, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([("a.go", SHOP)], "file string, content binary").write.parquet(incoming)
+    stream = spark.readStream.schema("file string, content binary").parquet(incoming)
+    query = watch(stream, options("", budget_cents=1e-9), out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="budget exceeded"):
+        query.awaitTermination(300)
+    assert not os.path.exists(out)
+
+
 def test_stream_of_files(spark, tmp_path):
     from marginalia.streaming.watch import watch
 
