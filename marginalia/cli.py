@@ -99,7 +99,7 @@ def _run(spark, args, scorer) -> int:
                     out.write(row["diff"])
             else:
                 for row in report.fixes.where("error is null").orderBy("file").toLocalIterator():
-                    out.write(f"{row['file']}: {row['deleted']} comment(s) would be deleted\n")
+                    out.write(f"{row['file']}: {row['deleted']} deletions planned\n")
         if args.verb != "baseline" or report.stopped is not None:
             report.write(out, args.format, color=not args.output and sys.stdout.isatty() and not os.environ.get("NO_COLOR"))
     finally:

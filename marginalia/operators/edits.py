@@ -89,7 +89,7 @@ def guard(planned: DataFrame) -> DataFrame:
     return checked.withColumn("problem", problem).select(
         "file", "content", "spans", "edited", col("problem").isNull().alias("ok"),
         F.when(col("problem").isNull(), col("deleted")).otherwise(0).alias("deleted"),
-        F.when(col("problem").isNotNull(), F.concat_ws(": ", "file", F.lit("fix-aborted"), F.lit("edits discarded"),
+        F.when(col("problem").isNotNull(), F.concat_ws(": ", "file", F.lit("fix-aborted"), F.lit("no edit made"),
                                                        "problem")).alias("error"))
 
 
@@ -169,7 +169,7 @@ def replace_file(path: str, expected: bytes, content: bytes) -> str:
         if found == hashlib.sha256(content).digest():
             return ""
         if found != hashlib.sha256(expected).digest():
-            return f"{path}: changed on disk during the run, skipped"
+            return f"{path}: no longer what was scored, left alone"
         handle, beside = tempfile.mkstemp(prefix=".edit-", dir=os.path.dirname(path) or ".")
         try:
             with os.fdopen(handle, "wb") as out:

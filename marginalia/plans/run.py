@@ -170,7 +170,7 @@ def run(spark: SparkSession, options: Options) -> Report:
         S.load_dotenv()
     writes = options.mode == "fix" and not (options.diff or options.dry_run)
     if writes and S.in_ci() and not options.allow_ci_write:
-        raise CiWriteError("fix refuses to write in CI: use check --format sarif, or pass --allow-ci-write")
+        raise CiWriteError("a CI job may not edit files: report with check --format sarif, or allow it with --allow-ci-write")
     settings = load_settings(options).resolve(
         profile=options.profile, min_confidence=options.min_confidence, delete_threshold=options.delete_threshold)
     rubric = S.load_rubric(settings.rubric)
@@ -183,7 +183,7 @@ def run(spark: SparkSession, options: Options) -> Report:
     everything = durable(extract(parse(texts), texts, settings, rubric.version))
     status = everything.select("file", "ok", "error").distinct()
     for row in status.where("not ok").orderBy("file").toLocalIterator():
-        print(f"{settings.tool}: {row['file']}: skipped: {row['error']}", file=sys.stderr)
+        print(f"{settings.tool}: not parsed: {row['file']}: {row['error']}", file=sys.stderr)
     found = everything.where("kind is not null").drop("ok", "error")
     files = found.agg(F.count_distinct("file")).first()[0]
     if ranges is not None:
@@ -230,7 +230,7 @@ def run(spark: SparkSession, options: Options) -> Report:
         planned = durable(planned)
         cents = batching.estimated_tokens(planned).first()[0] * C.USD_PER_INPUT_TOKEN * 100
         if options.budget_cents > 0 and cents > options.budget_cents:
-            raise BudgetError(f"budget exceeded: estimated {cents:.2f}¢, budget {options.budget_cents:.2f}¢")
+            raise BudgetError(f"over budget: this run would cost some {cents:.2f}¢ of {options.budget_cents:.2f}¢")
 
         def store(scored: DataFrame) -> None:
             if cache is not None:
@@ -244,7 +244,7 @@ def run(spark: SparkSession, options: Options) -> Report:
                 return Report(None, {**info, "incomplete": True}, soft_failed=said[-1] if said else str(error))
             raise
         if over:
-            stopped = BudgetError(f"budget exceeded: the run stopped after {options.budget_cents:.2f}¢")
+            stopped = BudgetError(f"over budget: stopped once {options.budget_cents:.2f}¢ were spent")
         totals = scored.agg(F.coalesce(F.sum("n_findings"), F.lit(0)), F.count("*")).first()
         info |= {"assessed": totals[0], "requests": totals[1], "incomplete": over}
         fresh = durable(batching.verdicts(scored))

@@ -25,6 +25,9 @@ RETRIES, FIRST_WAIT, LONGEST_WAIT, JITTER = 2, 0.5, 5.0, 0.25
 
 Transport = Callable[[str, dict, dict, float], dict]
 
+# fixed value: what the scoring service calls a question that asks for a probability
+PROBABILITY = "noul"
+
 
 class TransportError(RuntimeError):
     """The scorer could not be reached in time."""
@@ -77,9 +80,9 @@ class HttpScorer:
             for name in ("accuracy", "usefulness"):
                 instructions, criteria = getattr(self.rubric, name)
                 asked[name + suffix] = {"type": "score", "instructions": instructions + narrowed, "criteria": list(criteria)}
-            asked["overreach" + suffix] = {"type": "noul", "instructions": self.rubric.overreach + narrowed}
+            asked["overreach" + suffix] = {"type": PROBABILITY, "instructions": self.rubric.overreach + narrowed}
             if item["kind"] != "annotation":
-                asked["commented_out" + suffix] = {"type": "noul", "instructions": self.rubric.commented_out + narrowed}
+                asked["commented_out" + suffix] = {"type": PROBABILITY, "instructions": self.rubric.commented_out + narrowed}
         return asked
 
     def answers(self, items, reply: dict) -> list[dict]:
@@ -94,14 +97,14 @@ class HttpScorer:
 
         out = []
         for item in items:
-            row = {"slot": item["slot"], "commented_out": 0.0, "overreach": float(pick(item, "overreach")["noul"])}
+            row = {"slot": item["slot"], "commented_out": 0.0, "overreach": float(pick(item, "overreach")[PROBABILITY])}
             for name in ("accuracy", "usefulness"):
                 answer = pick(item, name)
                 level = str(int(answer["score"] + 0.5))
                 row |= {name: float(answer["score"]), f"{name}_confidence": float(answer.get("confidence", 0.0)),
                         f"{name}_label": (answer.get("legend") or {}).get(level, "")}
             if item["kind"] != "annotation":
-                row["commented_out"] = float(pick(item, "commented_out")["noul"])
+                row["commented_out"] = float(pick(item, "commented_out")[PROBABILITY])
             out.append(row)
         return out
 

@@ -85,7 +85,7 @@ def read_sources(files: DataFrame) -> DataFrame:
 def git(*args: str) -> str:
     done = subprocess.run(("git", *args), capture_output=True, check=False)
     if done.returncode:
-        raise ScopeError(f"git {' '.join(args)}: exit status {done.returncode}")
+        raise ScopeError(f"git {' '.join(args)} ended with {done.returncode}")
     return done.stdout.decode("utf-8", errors="surrogateescape")
 
 
@@ -108,7 +108,7 @@ def resolve_base(explicit: str = "", run=git) -> str:
     for candidate in candidates:
         if found := candidate():
             return found
-    raise ScopeError("no base ref found: pass --base")
+    raise ScopeError("cannot tell which ref to compare with: name one with --base")
 
 
 def scan_git(spark: SparkSession, *, staged: bool = False, base: str = "", ignore=()) -> tuple[DataFrame, DataFrame]:

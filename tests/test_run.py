@@ -192,7 +192,7 @@ def test_edits_that_break_the_file_are_dropped(spark):
 def test_files_changed_meanwhile_are_left_alone(tmp_path):
     path = tmp_path / "a.go"
     path.write_bytes(b"new")
-    assert "changed on disk" in edits.replace_file(str(path), b"old", b"edited")
+    assert "no longer what was scored" in edits.replace_file(str(path), b"old", b"edited")
     assert edits.replace_file(str(path), b"new", b"edited") == "" and path.read_bytes() == b"edited"
     assert edits.replace_file(str(path), b"new", b"edited") == ""
 
@@ -209,7 +209,7 @@ def test_a_file_changed_while_it_was_scored_is_left_alone(spark, tmp_path):
 
     report = run(spark, options(path, mode="fix", profile="strict", scorer=Slow(**{f.name: getattr(SCORER, f.name) for f in fields(SCORER)})))
     row = report.fixes.first()
-    assert "changed on disk" in row["error"] and open(file, "rb").read() == newer
+    assert "no longer what was scored" in row["error"] and open(file, "rb").read() == newer
 
 
 def test_every_skipped_file_is_named(spark, tmp_path, capsys):
@@ -392,7 +392,7 @@ def test_a_stopped_batch_is_not_written(spark, tmp_path):
     spark.createDataFrame([("a.go", SHOP)], "file string, content binary").write.parquet(incoming)
     stream = spark.readStream.schema("file string, content binary").parquet(incoming)
     query = watch(stream, options("", budget_cents=1e-9), out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    with pytest.raises(Exception, match="budget exceeded"):
+    with pytest.raises(Exception, match="over budget"):
         query.awaitTermination(300)
     assert not os.path.exists(out)
 
