@@ -14,15 +14,16 @@ from marginalia.llm.queries import fold, table
 from marginalia.llm.storage import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document whose best language has less than this share of the posterior is rejected, as is one without letters.
-LEAST_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no language; a missing ``lang`` becomes the predicted one."""
+    """Drop documents of no language (no text, or no letter in it); a missing ``lang`` becomes the predicted one.
+
+    A low score alone is no reason to drop a document: short or mixed texts are clean as well.
+    """
     model = language_id.fit(docs.where(fold(F.col("doc_id"), 4) != 2).select("text", "lang"))
     judged = language_id.predict(docs.select(*COLUMNS), model)
-    kept = judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    kept = judged.where(F.col("lang_pred") != language_id.UNKNOWN)
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
