@@ -19,10 +19,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of no language (no text, or no letter in it); a missing ``lang`` becomes the predicted one.
 
-    A low score alone is no reason to drop a document: short or mixed texts are clean as well.
+    A low score alone is no reason to drop a document: short or mixed texts are clean as well. Where no
+    document has a language to learn from, only those without a letter go.
     """
     model = language_id.fit(docs.where(fold(F.col("doc_id"), 4) != 2).select("text", "lang"))
     judged = language_id.predict(docs.select(*COLUMNS), model)
+    if not model["langs"]:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     kept = judged.where(F.col("lang_pred") != language_id.UNKNOWN)
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
