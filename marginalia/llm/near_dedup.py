@@ -172,24 +172,25 @@ def _plausible_across(rest: DataFrame, nodes: DataFrame, texts: DataFrame) -> Da
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(long_sketch(part.column(1)), pa.binary())], ["node", "sketch"])
 
     long = texts.join(rest.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text").mapInArrow(sketch, "node long, sketch binary")
-    rows = (rest.join(nodes.select("node", F.explode(F.slice("half", 1, GROUPS)).alias("key")), "node")
-            .select("key", "node", "component"))
+    rows = (rest.join(nodes.select("node", F.slice("half", 1, GROUPS).alias("halves")), "node")
+            .select(F.explode("halves").alias("key"), "node", "component", "halves"))
     several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key", "n")
     held = stored(long, "long-sketches")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = (rows.join(several, "key").join(held, "node").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "component", "sketch"))
+             .select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "component", "halves", "sketch"))
     grouped = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def compare(batches):
         open_rows: list[pa.RecordBatch] = []
 
         def pairs(table: pa.Table):
-            node, comp = table["node"].to_numpy(), table["component"].to_numpy()
+            node, comp, bucket = table["node"].to_numpy(), table["component"].to_numpy(), table["key"].to_numpy()
+            halves = table["halves"].combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
             lo, hi, mine = table["lo"].to_numpy(), table["hi"].to_numpy(), table["mine"].to_numpy()
             sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            edge = np.flatnonzero(np.concatenate([[True], (table["key"].to_numpy()[1:] != table["key"].to_numpy()[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+            edge = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
             u, v = [], []
             for a, b in zip(edge, [*edge[1:], len(node)], strict=True):
                 left = a + np.flatnonzero(mine[a:b] == lo[a])
@@ -197,6 +198,8 @@ def _plausible_across(rest: DataFrame, nodes: DataFrame, texts: DataFrame) -> Da
                 for k in left:
                     to = right[(comp[right] != comp[k]) & (node[right] > node[k])] if lo[a] == hi[a] else right[comp[right] != comp[k]]
                     to = to[np.bitwise_count(sketch[to] ^ sketch[k]).sum(1, dtype=np.int64) <= BITS_DIFFER]
+                    # a pair that shares several keys is written once, in the bucket of the first of them
+                    to = to[halves[k][(halves[to] == halves[k]).argmax(1)] == bucket[k]]
                     u += [np.maximum(node[to], node[k])]
                     v += [np.minimum(node[to], node[k])]
             u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
