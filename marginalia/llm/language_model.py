@@ -3,10 +3,14 @@
 Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, and every text ends with one end token. The base score
 is the add-one word unigram of the training texts, counted over all of them.
 
-The attention model is trained with numpy on a bounded sample (``SAMPLE_BYTES`` of whole training texts, by a
-hash of the text). Each word, with a blank before it, becomes ids of a public tokenizer; the sample's most
-frequent ids have an output of their own, the others share one and are uniform below it, so every text has
-a proper probability. Tokens are scored in windows of ``WINDOW`` inputs, of which the last ``STRIDE`` are
+The attention model learns from all training texts with numpy. Each word, with a blank before it, becomes ids
+of a public tokenizer, once; they are kept in a table. All ids are counted: the most frequent ones have an output of
+their own, the others share one and are told apart below it by their add-one frequencies, so every text has
+a proper probability. A bounded sample (``SAMPLE_BYTES`` of whole texts, by a hash of the text) only gives the
+weights a start. Then every partition trains on all its texts of one share (``len(RATES)`` shares, by a hash of
+the text), starting from the same weights; their average, weighted by windows, starts the next share. So
+every window of every training text is one training case. The average is exact in any order, but
+what a partition holds matters: another layout of the input gives slightly other weights. Tokens are scored in windows of ``WINDOW`` inputs, of which the last ``STRIDE`` are
 queries: windows overlap, every token is scored once and sees at least ``WINDOW - STRIDE`` inputs before it.
 A batch of windows is one masked matrix product per step, and the output is factored into classes and
 members, so a token costs two short softmaxes.
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +39,8 @@ from marginalia.llm.token_codec import codec, public_files
 
 HOT_WORDS = 1 << 19
 SAMPLE_BYTES = 1 << 20
+#: Learning rate of each pass over one share of the training texts.
+RATES = (0.01, 0.006, 0.003, 0.001)
 WIDTH, WINDOW, STRIDE = 24, 48, 32
 CLASSES = MEMBERS = 32
 END, OTHER = 0, 1
@@ -92,7 +99,25 @@ def untrained(vocabulary: np.ndarray, seed: int = 5) -> dict:
         weights["member_bias"][unused // MEMBERS, unused % MEMBERS] = -40
         if unused % MEMBERS == 0:
             weights["klass_bias"][unused // MEMBERS] = -40
-    return {"weights": weights, "lookup": lookup, "rest": max(1, _IDS - len(vocabulary))}
+    return {"weights": weights, "lookup": lookup, "rest": np.where(lookup == OTHER, -np.log(max(1, _IDS - len(vocabulary))), 0.0)}
+
+
+def counted(counts: np.ndarray, ends: int, seed: int = 5) -> dict:
+    """A model that knows how often each id, and the end mark, occurs: vocabulary, biases and rest distribution."""
+    order = np.argsort(-counts, kind="stable")[: CLASSES * MEMBERS - 2]
+    vocabulary = order[counts[order] > 0]  # by frequency: classes of like frequency
+    model = untrained(vocabulary, seed)
+    if not ends:
+        return model
+    w, rest = model["weights"], model["lookup"][:-1] == OTHER
+    base = np.zeros(CLASSES * MEMBERS)
+    base[END], base[OTHER] = ends, counts[rest].sum()
+    base[2 : len(vocabulary) + 2] = counts[vocabulary]
+    base = base.reshape(CLASSES, MEMBERS) + 0.5
+    w["klass_bias"] = np.where(w["klass_bias"] < -30, w["klass_bias"], np.log(base.sum(1) / base.sum())).astype(np.float32)
+    w["member_bias"] = np.where(w["member_bias"] < -30, w["member_bias"], np.log(base / base.sum(1, keepdims=True))).astype(np.float32)
+    model["rest"][:-1][rest] = np.log((counts[rest] + 1) / (counts[rest].sum() + rest.sum()))
+    return model
 
 
 def windows(ids: np.ndarray, begins: np.ndarray):
@@ -140,7 +165,7 @@ def score_ids(model: dict, ids: np.ndarray, begins: np.ndarray, batch: int = 256
     w, mask = model["weights"], causal_mask()
     known = model["lookup"][ids]
     out = np.zeros(len(begins) - 1)
-    others = np.add.reduceat(known == OTHER, begins[:-1], dtype=np.int64) if len(ids) else np.zeros(0, np.int64)
+    others = np.add.reduceat(model["rest"][ids], begins[:-1]) if len(ids) else np.zeros(0)
     inputs, targets, row = windows(known, begins)
     for at in range(0, len(inputs), batch):
         hidden, _ = attend(w, inputs[at : at + batch], mask)
@@ -156,63 +181,77 @@ def score_ids(model: dict, ids: np.ndarray, begins: np.ndarray, batch: int = 256
             if len(own):
                 logp[own] += log_softmax_at(hidden[own] @ w["member"][c] + w["member_bias"][c], member[own])
         out += np.bincount(np.repeat(row[at : at + batch], STRIDE)[live], logp.astype(np.float64), len(out))
-    return (out - others * np.log(model["rest"])) / np.log(10)
+    return (out + others) / np.log(10)
 
 
 def train(texts: list[str], files, steps: int = 1000, batch: int = 96, rate: float = 0.02, seed: int = 5) -> dict:
-    """Fit the model on texts: Adam on the cross entropy of random windows."""
+    """Fit a model of its own on a few texts."""
     _, _, ids, begins = texts_as_ids(pa.array(texts, pa.string()), files)
-    found, counts = np.unique(ids[ids >= 0], return_counts=True)
-    vocabulary = np.sort(found[np.argsort(-counts, kind="stable")[: CLASSES * MEMBERS - 2]])
-    vocabulary = found[np.argsort(-counts, kind="stable")[: len(vocabulary)]]  # by frequency: classes of like frequency
-    model = untrained(vocabulary, seed)
+    model = counted(np.bincount(ids[ids >= 0], minlength=_IDS), len(texts), seed)
+    warm_up(model, ids, begins, steps, batch, rate, seed)
+    return model
+
+
+def warm_up(model: dict, ids: np.ndarray, begins: np.ndarray, steps: int = 1000, batch: int = 96, rate: float = 0.02, seed: int = 5) -> None:
+    """Adam on the cross entropy of random windows."""
     if not len(ids):
-        return model
-    w, mask, rng = model["weights"], causal_mask(), np.random.default_rng(seed)
+        return
+    rng, descend = np.random.default_rng(seed), adam(model["weights"])
     inputs, targets, _ = windows(model["lookup"][ids], begins)
-    moments = {n: (np.zeros_like(v), np.zeros_like(v)) for n, v in w.items()}
-    base = np.bincount(targets[targets >= 0], minlength=CLASSES * MEMBERS).reshape(CLASSES, MEMBERS) + 0.5
-    w["klass_bias"] = np.where(w["klass_bias"] < -30, w["klass_bias"], np.log(base.sum(1) / base.sum())).astype(np.float32)
-    w["member_bias"] = np.where(w["member_bias"] < -30, w["member_bias"], np.log(base / base.sum(1, keepdims=True))).astype(np.float32)
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(inputs), batch)
-        grads = gradients(w, inputs[pick], targets[pick], mask)
-        pace = rate * min(1.0, 3 * (1 - step / (steps + 1)))
-        for n, g in grads.items():
+        descend(inputs[pick], targets[pick], rate * min(1.0, 3 * (1 - step / (steps + 1))))
+
+
+def adam(w: dict):
+    """A function that changes ``w`` by one step on a batch of windows at a rate."""
+    mask, steps = causal_mask(), 0
+    moments = {n: (np.zeros_like(v), np.zeros_like(v)) for n, v in w.items()}
+
+    def descend(inputs: np.ndarray, targets: np.ndarray, rate: float) -> None:
+        nonlocal steps
+        steps += 1
+        for n, g in gradients(w, inputs, targets, mask).items():
             m, v = moments[n]
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            w[n] -= (pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            w[n] -= (rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-8)).astype(np.float32)
         for n in ("klass", "member"):
             np.clip(w[n], -3, 3, out=w[n])  # with hidden states within one this keeps every logit far from overflow
-    return model
+
+    return descend
 
 
 def gradients(w: dict, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray) -> dict:
     """Gradients of the mean negative log likelihood of one batch of windows."""
     hidden, (x, tail, keys, values, queries, share, mixed) = attend(w, inputs, mask)
     flat, target = hidden.reshape(-1, WIDTH), targets.reshape(-1)
-    live = target >= 0
-    n = max(1, int(live.sum()))
-    klass, member = np.where(live, target // MEMBERS, 0), np.where(live, target % MEMBERS, 0)
+    order = np.argsort(target, kind="stable")
+    order = order[int((target < 0).sum()) :]  # places with a target, class by class
+    n = max(1, len(order))
+    own, klass, member = flat[order], target[order] // MEMBERS, target[order] % MEMBERS
+    edges = np.searchsorted(klass, np.arange(CLASSES + 1))
     g = {}
 
     def soft(logits, index):
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(p)), index] -= 1
-        p *= (live / n)[:, None].astype(np.float32)
+        p /= n
         return p
 
-    d_class = soft(flat @ w["klass"] + w["klass_bias"], klass)
-    g["klass"], g["klass_bias"] = flat.T @ d_class, d_class.sum(0)
-    own = w["member"][klass]
-    d_member = soft(np.einsum("nd,ndm->nm", flat, own) + w["member_bias"][klass], member)
+    d_class = soft(own @ w["klass"] + w["klass_bias"], klass)
+    g["klass"], g["klass_bias"] = own.T @ d_class, d_class.sum(0)
     g["member"], g["member_bias"] = np.zeros_like(w["member"]), np.zeros_like(w["member_bias"])
-    for c in np.unique(klass):
-        at = klass == c
-        g["member"][c], g["member_bias"][c] = flat[at].T @ d_member[at], d_member[at].sum(0)
-    d_hidden = d_class @ w["klass"].T + np.einsum("nm,ndm->nd", d_member, own)
+    d_own = d_class @ w["klass"].T
+    for c in range(CLASSES):
+        at = slice(edges[c], edges[c + 1])
+        if edges[c] < edges[c + 1]:
+            d_member = soft(own[at] @ w["member"][c] + w["member_bias"][c], member[at])
+            g["member"][c], g["member_bias"][c] = own[at].T @ d_member, d_member.sum(0)
+            d_own[at] += d_member @ w["member"][c].T
+    d_hidden = np.zeros_like(flat)
+    d_hidden[order] = d_own
     d_sum = (d_hidden * (1 - flat**2)).reshape(hidden.shape)
     flat_sum = d_sum.reshape(-1, WIDTH)
     g["o"] = mixed.reshape(-1, WIDTH).T @ flat_sum
@@ -229,32 +268,140 @@ def gradients(w: dict, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray
     d_x[:, WINDOW - STRIDE :] += d_sum + d_queries @ w["q"].T
     g["place"] = d_x.sum(0)
     g["embed"] = np.zeros_like(w["embed"])
-    np.add.at(g["embed"], inputs.reshape(-1), d_x.reshape(-1, WIDTH))
+    order = np.argsort(inputs.reshape(-1), kind="stable")
+    met = inputs.reshape(-1)[order]
+    first = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
+    g["embed"][met[first]] = np.add.reduceat(d_x.reshape(-1, WIDTH)[order], first)
     return g
 
 
 # --- on tables --------------------------------------------------------------------------------------
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``word, c``: how often each word (by hash) occurs in ``texts`` (text); pre-summed in every batch."""
+def read(docs: DataFrame, learn, key: str, text: str, files) -> DataFrame:
+    """Per row its number ``row``, ``key``, ``learn``, ``draw`` (a hash of the text), bytes, words, and what the text holds.
+
+    That is the hashes of its distinct words with their counts, and its subword ids in order, as little-endian numbers.
+    """
+    held = F.coalesce(F.col(text), F.lit(""))
+
+    def work(batches):
+        part, made = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            _, offsets = utf8(batch.column(3))
+            for low, high in slices(offsets, 1 << 21):
+                rows = high - low
+                hashes, at, ids, begins = texts_as_ids(batch.column(3).slice(low, rows), files)
+                marks, owner = hashes.view(np.int64), np.repeat(np.arange(rows), np.diff(at))
+                order = np.lexsort((marks, owner))
+                marks, owner = marks[order], owner[order]
+                first = np.flatnonzero(np.concatenate([[True], (marks[1:] != marks[:-1]) | (owner[1:] != owner[:-1])])) if len(marks) else np.zeros(0, np.int64)
+                cut = np.searchsorted(owner[first], np.arange(rows + 1))
+                times = np.diff(np.append(first, len(marks)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((np.int64(part) << 40) + made + np.arange(rows)), *(batch.column(k).slice(low, rows) for k in range(3)), pa.array(np.diff(offsets[low : high + 1])), pa.array(np.diff(at)),
+                     packed(marks[first], cut, "<i8"), packed(times, cut, "<u4"), packed(np.where(ids < 0, _END_CODE, ids), begins, "<u2")],
+                    ["row", key, "learn", "draw", "bytes", "n", "words", "times", "ids"])
+                made += rows
+
+    shape = T.StructType([T.StructField("row", T.LongType()), T.StructField(key, docs.schema[key].dataType), T.StructField("learn", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("draw", "bytes", "n")),
+                          *(T.StructField(c, T.BinaryType()) for c in ("words", "times", "ids"))])
+    return docs.select(key, F.coalesce(learn, F.lit(False)), F.xxhash64(held), held).mapInArrow(work, shape)
+
+
+_END_CODE = 0xFFFF
+
+
+def packed(values: np.ndarray, edges: np.ndarray, code: str) -> pa.Array:
+    """Rows of numbers as binary strings."""
+    raw = values.astype(code)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * raw.itemsize).astype(np.int32)), pa.py_buffer(raw)])
+
+
+def unpacked(column: pa.Array, code: str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of ``packed``, and where each row's begin."""
+    column = column.cast(pa.large_binary())
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]] if len(column) else np.zeros(0, np.uint8)
+    return data.view(code), (edges - edges[0]) // np.dtype(code).itemsize
+
+
+def ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    ids, begins = unpacked(column, "<u2")
+    return np.where(ids == _END_CODE, -1, ids.astype(np.int32)), begins
+
+
+def counts_of(taught: DataFrame) -> DataFrame:
+    """``kind, word, c``: how often each word (by hash, kind 0) and each subword id (kind 1) occurs; pre-summed in every batch."""
 
     def count(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column(0))
-            found, n = np.unique(hash_runs(data, word_starts(data, offsets)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["word", "c"])
+            words, inverse = np.unique(unpacked(batch.column(0), "<i8")[0], return_inverse=True)
+            n = np.bincount(inverse, unpacked(batch.column(1), "<u4")[0], len(words)).astype(np.int64)
+            every = np.bincount(unpacked(batch.column(2), "<u2")[0], minlength=1)
+            ids = np.flatnonzero(every)
+            kind = np.repeat([0, 1], [len(words), len(ids)])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([words, ids])), pa.array(np.concatenate([n, every[ids]]))], ["kind", "word", "c"])
 
-    return texts.mapInArrow(count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return taught.select("words", "times", "ids").mapInArrow(count, "kind long, word long, c long").groupBy("kind", "word").agg(F.sum("c").alias("c"))
+
+
+_UNIT = 1 << 24
+
+
+def improved(taught: DataFrame, model: dict, rate: float, batch: int = 96) -> dict:
+    """The average of what each partition makes of ``model`` in one pass over all its windows."""
+    shared = taught.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches):
+        start, part = shared.value, TaskContext.get().partitionId()
+        w, rng, seen = {n: x.copy() for n, x in start["weights"].items()}, np.random.default_rng(part), 0
+        descend = adam(w)
+        for rows in batches:
+            ids, begins = ids_of(rows.column(0))
+            for low, high in slices(begins, 1 << 19):
+                inputs, targets, _ = windows(start["lookup"][ids[begins[low] : begins[high]]], begins[low : high + 1] - begins[low])
+                order = rng.permutation(len(inputs))
+                for at in range(0, len(order), batch):
+                    pick = order[at : at + batch]
+                    descend(inputs[pick], targets[pick], rate * min(1.0, len(pick) / batch))
+                seen += len(order)
+        if seen:
+            sums = np.concatenate([np.rint(x.reshape(-1).astype(np.float64) * _UNIT).astype(np.int64) for x in w.values()])
+            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([sums.astype("<i8").tobytes()], pa.binary())], ["seen", "sums"])
+
+    total, seen = None, 0
+    for r in stored(taught.select("ids").mapInArrow(work, "seen long, sums binary"), "weights").toLocalIterator():
+        own = np.frombuffer(r.sums, "<i8").astype(object) * r.seen  # exact, so the order of partitions does not matter
+        total, seen = own if total is None else total + own, seen + r.seen
+    shared.unpersist()
+    if total is None:
+        return model
+    mean, at, weights = (total / (seen * _UNIT)).astype(np.float32), 0, {}
+    for n, x in model["weights"].items():
+        weights[n], at = mean[at : at + x.size].reshape(x.shape), at + x.size
+    return {**model, "weights": weights}
+
+
+def fit(taught: DataFrame, by_id: np.ndarray, ends: int, size: int) -> dict:
+    """The attention model, learned from all rows of ``taught`` (see ``read``)."""
+    model = counted(by_id, ends)
+    share = min(1.0, SAMPLE_BYTES / max(1, size))
+    sample = taught.where((F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30))) & (F.col("bytes") <= SAMPLE_BYTES)).select("ids")
+    first = sorted(bytes(r.ids) for r in sample.collect())
+    warm_up(model, *ids_of(pa.array(first, pa.binary())))
+    for turn, rate in enumerate(RATES):
+        model = improved(taught.where(F.pmod(F.xxhash64("draw"), F.lit(len(RATES))) == turn), model, rate)
+    return model
 
 
 def score(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", files=None) -> DataFrame:
     """``key, n_tokens, n_known, train_tokens, base_score, score`` per row; ``learn``: the rows to learn from."""
     spark = docs.sparkSession
-    files = files or public_files()
-    held = F.coalesce(F.col(text), F.lit(""))
-    training = docs.where(learn).select(held.alias("text"))
-    counts = stored(word_counts(training), "word-counts")
-    totals = training.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    texts = stored(read(docs, learn, key, text, files or public_files()), "texts")
+    taught = texts.where("learn")
+    every = stored(counts_of(taught), "counts")
+    counts = every.where("kind = 0").select("word", "c")
+    totals = taught.agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes")).first()
     words = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = totals.rows
     n, v = (words.n or 0) + ends, words.v + (1 if ends else 0)
@@ -265,37 +412,33 @@ def score(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", files
             break
         least, room = c, room - by_count[c]
     hot = counts.where(F.col("c") >= least).toPandas().sort_values("word")
-    share = min(1.0, SAMPLE_BYTES / max(1, totals.bytes or 1))
-    sample = sorted(r.text for r in training.where((F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))) & (F.octet_length("text") <= SAMPLE_BYTES)).collect())
-    shared = spark.sparkContext.broadcast((hot["word"].to_numpy(), np.log10(hot["c"].to_numpy() + 1.0), train(sample, files)))
+    by_id = np.zeros(_IDS, np.int64)
+    for r in every.where((F.col("kind") == 1) & (F.col("word") < _IDS)).collect():
+        by_id[r.word] = r.c
+    shared = spark.sparkContext.broadcast((hot["word"].to_numpy(), np.log10(hot["c"].to_numpy() + 1.0), fit(taught, by_id, ends, totals.bytes or 0)))
 
     def work(batches):
         hot_word, hot_log, model = shared.value
-        part, made = TaskContext.get().partitionId(), 0
         for batch in batches:
-            _, offsets = utf8(batch.column(1))
-            for low, high in slices(offsets, 1 << 21):
-                hashes, at, ids, begins = texts_as_ids(batch.column(1).slice(low, high - low), files)
-                marks = hashes.view(np.int64)
-                found = np.minimum(np.searchsorted(hot_word, marks), max(0, len(hot_word) - 1))
-                hit = hot_word[found] == marks if len(hot_word) else np.zeros(len(marks), bool)
-                rows = high - low
-                owner = np.repeat(np.arange(rows), np.diff(at))
-                sums = np.bincount(owner[hit], hot_log[found[hit]], rows) if len(hot_word) else np.zeros(rows)
-                near = np.bincount(owner[hit], minlength=rows)
-                rare, counted = np.unique(np.stack([owner[~hit], marks[~hit]], 1), axis=0, return_counts=True) if (~hit).any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-                cut = np.searchsorted(rare[:, 0], np.arange(rows + 1))
-                pairs = pa.StructArray.from_arrays([pa.array(rare[:, 1].copy()), pa.array(counted)], ["word", "n"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((np.int64(part) << 40) + made + np.arange(rows)), batch.column(0).slice(low, rows), pa.array(np.diff(at) + 1), pa.array(near.astype(np.int64)), pa.array(sums),
-                     pa.array(score_ids(model, ids, begins)), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pairs)],
-                    ["row", key, "n_tokens", "near", "sums", "score", "rare"])
-                made += rows
+            marks, cut = unpacked(batch.column(3), "<i8")
+            times, _ = unpacked(batch.column(4), "<u4")
+            ids, begins = ids_of(batch.column(5))
+            rows = batch.num_rows
+            found = np.minimum(np.searchsorted(hot_word, marks), max(0, len(hot_word) - 1))
+            hit = hot_word[found] == marks if len(hot_word) else np.zeros(len(marks), bool)
+            owner = np.repeat(np.arange(rows), np.diff(cut))
+            sums = np.bincount(owner[hit], hot_log[found[hit]] * times[hit], rows) if len(hot_word) else np.zeros(rows)
+            near = np.bincount(owner[hit], times[hit], rows).astype(np.int64)
+            scores = np.concatenate([np.zeros(0), *(score_ids(model, ids[begins[a] : begins[b]], begins[a : b + 1] - begins[a]) for a, b in slices(begins, 1 << 20))])
+            rare = pa.StructArray.from_arrays([pa.array(marks[~hit]), pa.array(times[~hit].astype(np.int64))], ["word", "n"])
+            edges = np.searchsorted(owner[~hit], np.arange(rows + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pc.add(batch.column(2), 1), pa.array(near), pa.array(sums), pa.array(scores), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), rare)],
+                                             ["row", key, "n_tokens", "near", "sums", "score", "rare"])
 
     shape = T.StructType([T.StructField("row", T.LongType()), T.StructField(key, docs.schema[key].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("near", T.LongType()),
                           T.StructField("sums", T.DoubleType()), T.StructField("score", T.DoubleType()),
                           T.StructField("rare", T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.LongType())])))])
-    scored = stored(docs.select(key, held.alias("text")).mapInArrow(work, shape), "scored")
+    scored = stored(texts.select("row", key, "n", "words", "times", "ids").mapInArrow(work, shape), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     added = (rare.join(counts.where(F.col("c") < least), "word")
              .groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("far")))

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marginalia.llm import language_id, personal_data, token_codec
 from marginalia.llm.queries import ORACLES, QUERIES
@@ -187,6 +188,28 @@ def test_attention_model_is_a_distribution_and_gradients_are_right():
         assert math.isclose(slope, grads[name][at], rel_tol=2e-3, abs_tol=1e-6), name
 
 
+def test_attention_model_learns_from_all_training_texts(spark):
+    from marginalia.llm import language_model as lm
+
+    long = "zebra quartz violin " * 60_000  # more than the sample of the first weights may hold
+    docs = spark.createDataFrame([(0, long), *((k, "the cat sat on the mat. " * 20) for k in range(1, 30)), (50, "zebra quartz violin " * 400), (51, "the cat sat on the mat. " * 20)], "doc_id int, text string")
+    got = {r.doc_id: r for r in lm.score(docs, F.col("doc_id") < 50).collect()}
+    assert len(long) > lm.SAMPLE_BYTES and len(got) == 32
+    for k in (50, 51):
+        assert got[k].score / got[k].n_tokens > -1, (k, got[k])
+    assert abs(got[1].score - got[29].score) < 1e-6 * abs(got[1].score)
+
+
+def test_ids_without_an_output_share_the_rest_by_their_counts():
+    from marginalia.llm import language_model as lm
+
+    counts = np.maximum(0, 3000 - np.arange(50_257))
+    model = lm.counted(counts, 10)
+    other = model["lookup"][:-1] == lm.OTHER
+    assert other.sum() == 50_257 - 1022 and math.isclose(np.exp(model["rest"][:-1][other]).sum(), 1, rel_tol=1e-9)
+    assert model["rest"][1500] > model["rest"][2900] > model["rest"][40_000] and model["rest"][5] == 0
+
+
 BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
