@@ -330,11 +330,18 @@ def ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.where(ids == _END_CODE, -1, ids.astype(np.int32)), begins
 
 
+def few(batches, rows: int = 1024):
+    """Batches of at most so many rows, so that what a task unpacks at once is small."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def counts_of(taught: DataFrame) -> DataFrame:
     """``kind, word, c``: how often each word (by hash, kind 0) and each subword id (kind 1) occurs; pre-summed in every batch."""
 
     def count(batches):
-        for batch in batches:
+        for batch in few(batches, 4096):
             words, inverse = np.unique(unpacked(batch.column(0), "<i8")[0], return_inverse=True)
             n = np.bincount(inverse, unpacked(batch.column(1), "<u4")[0], len(words)).astype(np.int64)
             every = np.bincount(unpacked(batch.column(2), "<u2")[0], minlength=1)
@@ -356,7 +363,7 @@ def improved(taught: DataFrame, model: dict, rate: float, batch: int = 96) -> di
         start, part = shared.value, TaskContext.get().partitionId()
         w, rng, seen = {n: x.copy() for n, x in start["weights"].items()}, np.random.default_rng(part), 0
         descend = adam(w)
-        for rows in batches:
+        for rows in few(batches):
             ids, begins = ids_of(rows.column(0))
             for low, high in slices(begins, 1 << 19):
                 inputs, targets, _ = windows(start["lookup"][ids[begins[low] : begins[high]]], begins[low : high + 1] - begins[low])
@@ -419,7 +426,7 @@ def score(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", files
 
     def work(batches):
         hot_word, hot_log, model = shared.value
-        for batch in batches:
+        for batch in few(batches):
             marks, cut = unpacked(batch.column(3), "<i8")
             times, _ = unpacked(batch.column(4), "<u4")
             ids, begins = ids_of(batch.column(5))
