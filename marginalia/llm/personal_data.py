@@ -7,8 +7,8 @@ gradient ascent on the conditional likelihood, and is decoded by Viterbi over ba
 decoded span counts only if it passes the same test as a pattern's match (digit counts, ranges, Luhn) and
 touches no pattern's span, so the patterns' spans always stay.
 
-Every word of a text is within the model, but one more than ``REACH`` words from any digit, ``@`` or
-bracketed or spelt "at"/"dot" pair can only be "other", so sequences are cut there without a change.
+Sequences are cut more than ``REACH`` words from any digit, ``@`` or word "at" or "dot": every kind's test asks for
+one of these in the span itself, spelt in any way.
 
 Defined cases: null is the empty text, without spans; spans are in code points, end exclusive, sorted by
 start, then by kind; equal rows give equal spans; extra columns are ignored.
@@ -35,6 +35,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+#: An address has ``@`` or "at" as a word of its own, within other words.
+_SPELT = re.compile(r"[A-Za-z0-9].*(?:@|(?<![^\W\d_])at(?![^\W\d_])).*(?:\.|dot).*[A-Za-z0-9]", re.S | re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -56,7 +58,7 @@ def passes(kind: str, text: str) -> bool:
         return 14 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
         return 10 <= len(digits) <= 15
-    return bool(re.search(r"[A-Za-z0-9].*(?:@|at).*(?:\.|dot).*[A-Za-z0-9]", text, re.S | re.I))
+    return bool(_SPELT.search(text))
 
 
 def emails(text: str):
@@ -85,7 +87,7 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
 # --- words, shapes and features ---------------------------------------------------------------------
 
 _WORD = re.compile(r"[^\W\d_]+|[0-9]+|[^\s\w]|[\d_]")
-_TRIGGER = re.compile(r"[0-9@]|[\[({<]\s?(?:at|dot)\s?[\])}>]|\bdot\b", re.I)
+_TRIGGER = re.compile(r"[0-9@]|[\[({<]\s*(?:at|dot)\s*[\])}>]|(?<![^\W\d_])(?:at|dot)(?![^\W\d_])", re.I)
 
 # Words that tell something by themselves.
 CUES = ("at dot com org net edu gov mail email e contact write tel telephone phone call fax mobile cell ext ring card visa credit debit "

@@ -247,6 +247,30 @@ def test_random_field_on_unseen_rows():
     assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.9
 
 
+def test_cutting_sequences_changes_no_span():
+    model = personal_data.train(personal_data.labelled_table())
+
+    def uncut(text):
+        found = [(m[0], m.start(), m.end()) for m in personal_data._WORD.finditer(text)]
+        starts, ends = np.array([f[1] for f in found]), np.array([f[2] for f in found])
+        path = personal_data.viterbi(model, [personal_data.features([f[0] for f in found], starts, ends)])[0]
+        out = []
+        for a in np.flatnonzero(path % 2 == 1):
+            b = a
+            while b + 1 < len(path) and path[b + 1] == path[a] + 1:
+                b += 1
+            kind = int(path[a] - 1) // 2
+            if personal_data.passes(personal_data.KINDS[kind], text[starts[a] : ends[b]]):
+                out.append((int(starts[a]), kind, int(ends[b])))
+        return out
+
+    plain = "so it goes on and on with many plain words that say nothing at any length of it all "
+    for seed in (11, 77):
+        for text, _ in personal_data.labelled_table(seed):
+            for own in (text, plain + text + " " + plain):
+                assert personal_data.model_spans([own], model)[0] == uncut(own), own
+
+
 def test_decontamination(spark, small, rows):
     from marginalia.llm import decontamination
 
