@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontamination, host_reputation, language_id, language_model, line_dedup, near_dedup, nearest, personal_data, repeated_spans, token_codec
+from marginalia.llm import decontamination, host_reputation, language_id, language_model, line_dedup, near_dedup, nearest, personal_data, prefix_trie, repeated_spans, reply_trees, structure_repair, token_codec
+from marginalia.llm.oracles import DIALOGUE
+from marginalia.llm.storage import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,9 +93,62 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_nearest, op3_token_codec, op4_decontamination, op5_language_model, op6_personal_data, op7_host_reputation, op8_line_dedup, op9_repeated_spans, op10_near_dedup)}
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that holds the template's own control strings, formatted and read back."""
+    ok = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ok).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    made = reply_trees.format_paths(reply_trees.chains(turns))
+    read = reply_trees.read_turns(F.col("formatted"))
+    made = made.withColumns({"turns": read, "learned": reply_trees.read_loss(F.col("formatted"), F.col("loss"))})
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return made.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"),
+                       F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
-ORACLES: dict[str, str] = {}
+
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations that begin with the first turns of another one, as the contract of the trie builds them, and their ids."""
+    head = F.crc32(F.col("conv_id").cast("string")) % 4
+    in_order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    rows = turns.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("place", F.row_number().over(in_order))
+    ids = turns.where("conv_id is not null").select("conv_id").distinct()
+    first = rows.where((F.col("conv_id") % 20 == 0) & (F.col("place") <= 3)).withColumnRenamed("conv_id", "source")
+    lent = ids.withColumn("source", F.col("conv_id") - F.col("conv_id") % 20).join(first, "source").where(F.col("place") <= head)
+    columns = ["conv_id", "place", "role", "text"]
+    return rows.where(F.col("place") > head).select(*columns).unionByName(lent.select(*columns)), ids
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shared and single prefix of the rebuilt conversations."""
+    turns, ids = rebuilt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return prefix_trie.prefix_trie(turns, order="place", ids=ids)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with the faults the contract of the repair plants, by a hash of conversation and turn."""
+    def text(column: str):
+        return F.coalesce(F.col(column).cast("string"), F.lit(" "))
+
+    rows = turns.withColumn("fate", F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn"))) % 20).where("fate <> 0")
+    said = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.regexp_replace(text("text"), "[.!?]", "")).otherwise(text("text"))
+    rows = rows.select("conv_id", "turn", F.when(F.col("fate") == 4, "user").otherwise(text("role")).alias("role"), said.alias("text"), F.when(F.col("fate") == 3, 2).otherwise(1).alias("times"))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times", "copy")
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and its cheapest repair."""
+    whole = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = damaged(whole)
+    report = stored(structure_repair.reports(turns, ids=whole), "repairs")
+    prints = structure_repair.fingerprints(structure_repair.repaired(turns, report)).withColumnRenamed("conv_id", "conv")
+    found = report.join(prints, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_nearest, op3_token_codec, op4_decontamination, op5_language_model, op6_personal_data, op7_host_reputation, op8_line_dedup, op9_repeated_spans, op10_near_dedup, op11_chat_format, op12_prefix_trie, op13_structure_repair)}
+
+ORACLES: dict[str, str] = dict(DIALOGUE)
 
 ORACLES["op8_line_dedup"] = r"""
 WITH lines AS (
