@@ -52,11 +52,11 @@ def chains(turns: DataFrame, conv: str = "conv_id", order: str = "turn") -> Data
         F.lit(0.0).alias("score"))
 
 
-def ancestors(messages: DataFrame) -> list[DataFrame]:
-    """Tables ``msg_id, up, depth, score, top``; in table ``j``, ``up`` is the message ``2**j`` replies above, if any.
+def ancestors(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``msg_id, conv_id, depth, score, top`` of every message, and the strides ``msg_id, up`` that lead there.
 
-    ``depth`` and ``score`` count what lies below ``up``; in the last table no message has one, so they are whole and
-    ``top`` is the root.
+    In stride table ``j``, ``up`` is the message ``2**j`` replies above. A message whose stride passes its root is
+    settled and joins no more, so a table holds only the messages at least ``2**j`` deep.
     """
     links = stored(messages.where("msg_id is not null").groupBy("msg_id").agg(F.min(F.struct(
         "conv_id", "place", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("m")).select("msg_id", "m.*"), "links")
@@ -65,15 +65,17 @@ def ancestors(messages: DataFrame) -> list[DataFrame]:
     now = stored(links.join(above, parent, "left").select(
         "msg_id", "conv_id", "up", F.col("up").isNotNull().cast("long").alias("depth"), "score",
         F.coalesce("up", "msg_id").alias("top")), "ancestors")
-    tables = [now]
-    while not now.where("up is not null").isEmpty():
-        far = now.select(F.col("msg_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"),
-                         F.col("score").alias("_score"), F.col("top").alias("_top"))
-        now = stored(now.join(far, "up", "left").select(
-            "msg_id", "conv_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-            (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"), F.coalesce("_top", "top").alias("top")), "ancestors")
-        tables.append(now)
-    return tables
+    settled, strides = now.where("up is null"), []
+    while not (going := now.where("up is not null")).isEmpty():
+        strides.append(going.select("msg_id", "up"))
+        far = settled.unionByName(going).select(F.col("msg_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"),
+                                                F.col("score").alias("_score"), F.col("top").alias("_top"))
+        # depth and score so far count what lies below ``up``
+        now = stored(going.join(far, "up").select(
+            "msg_id", "conv_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"),
+            (F.col("score") + F.col("_score")).alias("score"), F.col("_top").alias("top")), "ancestors")
+        settled = settled.unionByName(now.where("up is null"))
+    return settled.drop("up"), strides
 
 
 def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
@@ -81,17 +83,17 @@ def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
 
     ``path`` is the id of the path's last message, ``above`` counts the replies from it back to ``msg_id``.
     """
-    tables = ancestors(messages)
-    leaves = tables[-1].join(tables[0].where("up is not null").select(F.col("up").alias("msg_id")), "msg_id", "left_anti")
+    leaves, strides = ancestors(messages)
+    if strides:
+        leaves = leaves.join(strides[0].select(F.col("up").alias("msg_id")), "msg_id", "left_anti")
     leaves = leaves.select(F.col("msg_id").alias("path"), "msg_id", F.lit(0).cast("long").alias("above"), "conv_id", "depth", "score",
                            F.col("top").alias("root"))
     ranked = Window.partitionBy("root").orderBy(F.desc("score"), F.desc("depth"), "path")
     leaves = leaves.withColumn("rank", F.row_number().over(ranked))
     leaves = stored(leaves if branches is None else leaves.where(F.col("rank") <= branches), "leaves")
     now = leaves.select("path", "msg_id", "above")
-    for j in reversed(range(len(tables) - 1)):
-        strides = tables[j].where("up is not null").select("msg_id", "up")
-        further = now.join(strides, "msg_id").select("path", F.col("up").alias("msg_id"), (F.col("above") + (1 << j)).alias("above"))
+    for j in reversed(range(len(strides))):
+        further = now.join(strides[j], "msg_id").select("path", F.col("up").alias("msg_id"), (F.col("above") + (1 << j)).alias("above"))
         now = stored(now.unionByName(further), "paths")
     return now.join(leaves.select("path", "conv_id", "depth", "score", "root", "rank"), "path")
 
