@@ -180,7 +180,7 @@ def run(spark: SparkSession, options: Options) -> Report:
     texts = code_sources(sources, settings.languages)
     if options.mode == "fix":
         texts = durable(texts)  # edits are planned on, and compared with, the very bytes that were scored
-    everything = durable(extract(parse(texts), texts, settings, rubric.version))
+    everything = durable(extract(parse(texts), settings, rubric.version))
     status = everything.select("file", "ok", "error").distinct()
     for row in status.where("not ok").orderBy("file").toLocalIterator():
         print(f"{settings.tool}: not parsed: {row['file']}: {row['error']}", file=sys.stderr)
