@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from math import floor
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,27 +15,31 @@ from marginalia.functions.scoring import (
 ITEM = "struct<file:string,ord:bigint,id:string,slot:string,kind:string,block_text:string,growth:int>"
 
 
-def pack(items: Column, state_bytes: Column, cap: int = C.MAX_REQUEST_TOKENS) -> Column:
-    """Request number and size of every item of an ordered array.
+def place_items(slots: list[str], growths: list[int], state_bytes: int, cap: int) -> list[tuple[int, int]]:
+    """Request number and size of every item of a block, in one pass.
 
     Greedy in order: an item that would lift a non-empty request over the cap opens the next
     one, which repeats the state; a slot asked before in the same request adds nothing.
     """
-    zero = F.struct(
-        state_bytes.cast("int").alias("size"), F.lit(0).alias("bin"), F.array().cast("array<string>").alias("asked"),
-        F.array().cast("array<struct<bin:int,size:int>>").alias("out"))
+    number, size, asked, placed = 0, state_bytes, set(), []
+    for slot, growth in zip(slots, growths):
+        adds = 0 if slot in asked else growth
+        if asked and floor((size + adds) / C.BYTES_PER_TOKEN) + C.TOKENS_PER_REQUEST > cap:
+            number, size, adds = number + 1, state_bytes, growth
+            asked.clear()
+        asked.add(slot)
+        size += adds
+        placed.append((number, size))
+    return placed
+
 
-    def step(acc, item):
-        adds = F.when(F.array_contains(acc["asked"], item["slot"]), 0).otherwise(item["growth"])
-        opens = (F.size(acc["asked"]) > 0) & (estimate_tokens(acc["size"] + adds) > cap)
-        size = F.when(opens, state_bytes + item["growth"]).otherwise(acc["size"] + adds).cast("int")
-        number = (acc["bin"] + F.when(opens, 1).otherwise(0)).cast("int")
-        asked = F.when(opens, F.array(item["slot"])).otherwise(F.array_append(acc["asked"], item["slot"]))
-        placed = F.struct(number.alias("bin"), size.alias("size"))
-        return F.struct(size.alias("size"), number.alias("bin"), asked.cast("array<string>").alias("asked"),
-                        F.array_append(acc["out"], placed).cast("array<struct<bin:int,size:int>>").alias("out"))
+def pack(slots: Column, growths: Column, state_bytes: Column, cap: int = C.MAX_REQUEST_TOKENS) -> Column:
+    """``array<struct<bin, size>>``: ``place_items`` of every row's arrays."""
+    def placed(slots: pd.Series, growths: pd.Series, state_bytes: pd.Series) -> pd.Series:
+        return pd.Series([[{"bin": b, "size": n} for b, n in place_items(list(s), g.tolist(), int(z), cap)]
+                          for s, g, z in zip(slots, growths, state_bytes)], dtype=object)
 
-    return F.aggregate(items, zero, step, lambda acc: acc["out"])
+    return F.pandas_udf(placed, "array<struct<bin:int,size:int>>")(slots, growths, state_bytes)
 
 
 def requests(findings: DataFrame, rubric, cap: int = C.MAX_REQUEST_TOKENS) -> DataFrame:
@@ -56,14 +63,14 @@ def requests(findings: DataFrame, rubric, cap: int = C.MAX_REQUEST_TOKENS) -> Da
 
     blocks = rows.where("block <> ''").groupBy("block").agg(
         F.sort_array(F.collect_list(item)).alias("items"), F.min(F.struct("file", "ord", "state")).alias("first"))
-    blocks = blocks.withColumn("placed", pack(F.col("items"), F.octet_length("first.state"), cap))
-    blocks = blocks.withColumn("all", F.arrays_zip("items", "placed")).select(
-        "block", "first.state", "all", F.explode(F.sequence(F.lit(0), F.element_at("placed", -1)["bin"])).alias("bin"))
-    mine = F.filter("all", lambda x: x["placed"]["bin"] == F.col("bin"))
-    blocks = blocks.withColumn("mine", mine).select(
-        F.concat_ws("#", "block", "bin").alias("req_id"), "state",
-        F.transform("mine", lambda x: x["items"]).alias("items"), F.size("mine").cast("bigint").alias("n_findings"),
-        F.element_at("mine", -1)["placed"]["size"].alias("size_bytes"))
+    part = lambda name: F.transform("items", lambda item: item[name])
+    blocks = blocks.withColumn("placed", pack(part("slot"), part("growth"), F.octet_length("first.state"), cap))
+    placed = blocks.select("block", "first.state", F.explode(F.arrays_zip("items", "placed")).alias("at"))
+    # items of one request stay an array, which the cap bounds; its size is that of the last one placed
+    blocks = placed.groupBy("block", "at.placed.bin").agg(
+        F.first("state").alias("state"), F.sort_array(F.collect_list("at.items")).alias("items"),
+        F.count("*").alias("n_findings"), F.max("at.placed.size").alias("size_bytes")).select(
+        F.concat_ws("#", "block", "bin").alias("req_id"), "state", "items", "n_findings", "size_bytes")
     return single.unionByName(blocks).withColumn("est_tokens", estimate_tokens(F.col("size_bytes")))
 
 
@@ -72,20 +79,44 @@ def estimated_tokens(planned: DataFrame) -> DataFrame:
     return planned.agg(F.coalesce(F.sum("est_tokens"), F.lit(0)).alias("est_tokens"))
 
 
-def running_spend(rows: DataFrame, key: str, amount: str, name: str = "spent_before") -> DataFrame:
+#: Rows one window of the running total sums, on average, and hex digits that tell the windows of a level apart.
+ROWS_IN_WINDOW = 1 << 16
+DIGITS = 3
+
+
+def running_spend(rows: DataFrame, key: str, amount: str, name: str = "spent_before", *, rows_in_window: int = ROWS_IN_WINDOW) -> DataFrame:
     """What was spent before each row, in the order of the key's digest.
 
-    The digest deals rows evenly over 4096 buckets, so every window is small whatever the keys
-    are; the running total over buckets has 4096 rows at most.
+    Prefix sums in levels: rows are summed by ever longer prefixes of the digest until a prefix
+    holds some ``rows_in_window`` rows. Each level adds up siblings of one parent, ``16 ** DIGITS`` at most, and the
+    last one the rows of one prefix, so every window is small however many rows there are.
     """
-    digest = F.md5(F.col(key).cast("binary"))
-    rows = rows.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, 3))
-    totals = rows.groupBy("_bucket").agg(F.sum(amount).alias("_total"))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_bucket").orderBy("_digest", key).rowsBetween(Window.unboundedPreceding, -1)
-    running = F.coalesce(F.sum(amount).over(inside), F.lit(0)) + F.col("_offset")
-    return rows.join(F.broadcast(offsets), "_bucket").withColumn(name, running).drop("_digest", "_bucket", "_offset")
+    rows = rows.withColumn("_digest", F.md5(F.col(key).cast("binary")))
+    count, levels = rows.count(), 0
+    while count > rows_in_window * 16 ** (DIGITS * levels) and levels * DIGITS < 32:
+        levels += 1
+
+    def prefix(level: int) -> Column:
+        return F.substring("_digest", 1, DIGITS * level)
+
+    totals = {}
+    for level in range(levels, 0, -1):  # the sums of a level add up those of the next finer one
+        finer = totals.get(level + 1, rows.select("_digest", F.col(amount).alias("_total")))
+        totals[level] = finer.groupBy(prefix(level).alias("_digest")).agg(F.sum("_total").alias("_total"))
+    offsets = None
+    for level in range(1, levels + 1):
+        siblings = Window.partitionBy(prefix(level - 1)).orderBy("_digest").rowsBetween(Window.unboundedPreceding, -1)
+        own = totals[level].select("_digest", F.coalesce(F.sum("_total").over(siblings), F.lit(0)).alias("_offset"))
+        if offsets is not None:
+            above = offsets.select(F.col("_digest").alias("_parent"), F.col("_offset").alias("_above"))
+            own = own.withColumn("_parent", prefix(level - 1)).join(above, "_parent").select("_digest", (F.col("_offset") + F.col("_above")).alias("_offset"))
+        offsets = own
+    inside = Window.partitionBy(prefix(levels)).orderBy("_digest", key).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(name, F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    if offsets is not None:
+        offsets = offsets.withColumnRenamed("_digest", "_prefix")
+        rows = rows.withColumn("_prefix", prefix(levels)).join(offsets, "_prefix").withColumn(name, F.col(name) + F.col("_offset")).drop("_prefix", "_offset")
+    return rows.drop("_digest")
 
 
 def verdicts(scored: DataFrame) -> DataFrame:

@@ -7,15 +7,17 @@ import os
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.constants import DIFF_CONTEXT
 from marginalia.functions.paths import language_of, slashed
 from marginalia.functions.text import WS
 from marginalia.operators.extraction import slice_bytes
-from marginalia.operators.lexing import tokens, with_python_pieces
+from marginalia.operators.lexing import tokens, with_pieces
 from marginalia.operators.structure import syntax_status
 from marginalia.plans.durable import durable
 
@@ -41,6 +43,16 @@ def widen(content: Column, start: Column, end: Column, line_start: Column) -> Co
     )).otherwise(F.struct((start - trailing_blanks).cast("int").alias("start"), end.cast("int").alias("end")))
 
 
+def _disjoint(spans: pd.Series) -> pd.Series:
+    """Sorted spans cut to what no earlier one covers, by a running maximum of their ends."""
+    def cut(row):
+        start, end = (np.array([span[name] for span in row], np.int64) for name in ("start", "end"))
+        reached = np.maximum.accumulate(np.concatenate([[0], end]))[:-1]
+        return [{"start": a, "end": b} for a, b in zip(np.maximum(start, reached).tolist(), np.maximum(end, reached).tolist())]
+
+    return pd.Series([cut(row) for row in spans], dtype=object)
+
+
 def plan_edits(results: DataFrame, sources: DataFrame) -> DataFrame:
     """``(file, content, spans, edited)`` of files the policy deletes comments in.
 
@@ -53,11 +65,7 @@ def plan_edits(results: DataFrame, sources: DataFrame) -> DataFrame:
     rows = rows.withColumn("spans", F.array_sort(F.transform(
         "doomed", lambda d: widen(col("content"), d["start"], d["end"], d["line_start"]))))
 
-    def clipped(span, i):
-        reached = F.coalesce(F.array_max(F.transform(F.slice(col("spans"), F.lit(1), i), lambda s: s["end"])), F.lit(0))
-        return F.struct(F.greatest(span["start"], reached).alias("start"), F.greatest(span["end"], reached).alias("end"))
-
-    rows = rows.withColumn("spans", F.transform("spans", clipped))
+    rows = rows.withColumn("spans", F.pandas_udf(_disjoint, "array<struct<start:int,end:int>>")("spans"))
 
     def piece(span, i):
         begin = F.when(i > 0, F.element_at(col("spans"), F.greatest(i, F.lit(1)))["end"]).otherwise(0)
@@ -78,7 +86,7 @@ def guard(planned: DataFrame) -> DataFrame:
     planned = durable(planned)
 
     def status(content: str, prefix: str) -> DataFrame:
-        named = with_python_pieces(planned.select("file", col(content).alias("content"))).repartition("file")
+        named = with_pieces(planned.select("file", col(content).alias("content"))).repartition("file")
         return syntax_status(tokens(named)).select(
             "file", *[col(c).alias(f"{prefix}_{c}") for c in ("ok", "error", "digest")])
 
@@ -93,63 +101,76 @@ def guard(planned: DataFrame) -> DataFrame:
                                                        "problem")).alias("error"))
 
 
-def diff_lines(planned: DataFrame) -> DataFrame:
-    """``(file, hunk, line_no, text)`` rows of a unified diff with context lines.
+# Unicode white space among the characters of ISO-8859-1
+_BLANKS = b"\t\n\x0b\f\r \x85\xa0"
+
 
-    Changed lines a context apart share a hunk: gaps and islands on their numbers.
+def file_diff(path: str, content: bytes, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int, bytes]]:
+    """``(hunk, line number, text)`` of the lines a unified diff shows when ``spans`` of the content go.
+
+    Spans and line starts are both in order, so one merge finds the lines each span touches; changed lines a
+    context apart share a hunk.
     """
-    text = F.decode("content", "ISO-8859-1")
-    lines = planned.select("file", "spans", F.posexplode(F.split(text, "\n", -1)).alias("i", "raw"))
-    order = Window.partitionBy("file").orderBy("i")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("start", F.coalesce(F.sum(F.length("raw") + 1).over(before), F.lit(0)).cast("int"))
-    lines = lines.withColumns({
-        "shown": F.regexp_replace("raw", r"\r+\z", ""),
-        "mine": F.filter("spans", lambda s: (s["end"] > col("start")) & (s["start"] < col("start") + F.length("raw") + 1)),
-    }).drop("spans")
-
-    def kept(cut, k):
-        begin = F.when(k > 0, F.element_at(col("mine"), F.greatest(k, F.lit(1)))["end"] - col("start")).otherwise(0)
-        return F.substring(col("shown"), begin + 1, F.greatest(cut["start"] - col("start") - begin, F.lit(0)))
-
-    left = F.concat(F.array_join(F.transform("mine", kept), ""), F.substring(
-        col("shown"), F.element_at("mine", -1)["end"] - col("start") + 1, F.length("shown")))
-    final = F.lead("i").over(order).isNull() & (col("raw") == "")
-    lines = lines.withColumn("last_empty", final).where(~col("last_empty")).withColumns({
-        "changed": F.size("mine") > 0, "new": F.when(F.size("mine") > 0, left)})
-    lines = lines.withColumn("removed", col("changed") & _blank(F.coalesce("new", F.lit(""))))
-
-    reach = 2 * DIFF_CONTEXT + 1
-    at = F.when(col("changed"), col("i"))
-    backward = Window.partitionBy("file").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumns({
-        "prior": F.last(at, ignorenulls=True).over(before),
-        "behind": F.last(at, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "ahead": F.last(at, ignorenulls=True).over(backward),
-        "gone": F.coalesce(F.sum(col("removed").cast("int")).over(before), F.lit(0)),
-    })
-    opens = col("changed") & (col("prior").isNull() | (col("i") - col("prior") > reach))
-    lines = lines.withColumn("count", F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = col("behind").isNotNull() & ((col("i") - col("behind") <= DIFF_CONTEXT) | (
-        col("ahead").isNotNull() & (col("ahead") - col("behind") <= reach)))
-    leads = col("ahead").isNotNull() & (col("ahead") - col("i") <= DIFF_CONTEXT)
-    hunk = F.when(col("changed") | joined, col("count")).when(leads, col("count") + 1)
-    lines = lines.withColumn("hunk", hunk).where("hunk is not null")
-
-    in_hunk = Window.partitionBy("file", "hunk").orderBy("i")
-    whole = in_hunk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n_old, n_new = F.count("*").over(whole), F.sum((~col("removed")).cast("int")).over(whole)
-    first = F.row_number().over(in_hunk) == 1
-    new_start = col("i") + 1 - col("gone") - F.when(n_new == 0, 1).otherwise(0)
-    header = F.format_string("@@ -%d,%d +%d,%d @@", col("i") + 1, n_old, new_start, n_new)
-    utf8 = lambda c: F.encode(c, "ISO-8859-1").cast("string")
-    body = (F.when(~col("changed"), F.concat(F.lit(" "), utf8(col("shown"))))
-            .when(col("removed"), F.concat(F.lit("-"), utf8(col("shown"))))
-            .otherwise(F.concat(F.lit("-"), utf8(col("shown")), F.lit("\n+"), utf8(col("new")))))
-    top = F.when(first & (col("hunk") == 1), F.concat(
-        F.lit("--- a/"), slashed(col("file")), F.lit("\n+++ b/"), slashed(col("file")), F.lit("\n"))).otherwise("")
-    text = F.concat(top, F.when(first, F.concat(header, F.lit("\n"))).otherwise(""), body)
-    return lines.select("file", "hunk", (col("i") + 1).alias("line_no"), text.alias("text"))
+    breaks = np.flatnonzero(np.frombuffer(content, np.uint8) == 10)
+    starts = np.concatenate([[0], breaks + 1])
+    ends = np.append(breaks, len(content))
+    lines = len(starts) - (starts[-1] == len(content))  # nothing after the last line break is no line
+
+    def shown(i: int) -> bytes:
+        return content[starts[i] : ends[i]].rstrip(b"\r")
+
+    cuts: dict[int, list[tuple[int, int]]] = {}
+    spans = [(a, b) for a, b in spans if a < b]
+    first = np.searchsorted(starts, [a for a, _ in spans], side="right") - 1
+    final = np.searchsorted(starts, [b for _, b in spans], side="left") - 1
+    for (a, b), low, high in zip(spans, first.tolist(), final.tolist()):
+        for i in range(low, min(high + 1, lines)):
+            cuts.setdefault(i, []).append((max(0, a - int(starts[i])), b - int(starts[i])))
+    if not cuts:
+        return
+
+    def left(i: int) -> bytes:
+        line, at, pieces = shown(i), 0, []
+        for a, b in cuts[i]:
+            pieces.append(line[at:a])
+            at = max(at, b)
+        return b"".join([*pieces, line[at:]])
+
+    changed = np.array(list(cuts))
+    new = {i: left(i) for i in cuts}
+    removed = np.array([not new[i].strip(_BLANKS) for i in cuts])
+    gone = np.concatenate([[0], np.cumsum(removed)])
+    hunks = np.split(np.arange(len(changed)), np.flatnonzero(np.diff(changed) > 2 * DIFF_CONTEXT + 1) + 1)
+    for number, own in enumerate(hunks, 1):
+        low, high = max(0, int(changed[own[0]]) - DIFF_CONTEXT), min(lines, int(changed[own[-1]]) + DIFF_CONTEXT + 1)
+        taken = int(removed[own].sum())
+        n_new, begin = high - low - taken, low + 1 - int(gone[own[0]])
+        head = f"@@ -{low + 1},{high - low} +{begin - (n_new == 0)},{n_new} @@\n".encode()
+        if number == 1:
+            head = f"--- a/{path}\n+++ b/{path}\n".encode() + head
+        for i in range(low, high):
+            body = b" " + shown(i) if i not in new else b"-" + shown(i)
+            if i in new and new[i].strip(_BLANKS):
+                body += b"\n+" + new[i]
+            yield number, i + 1, head + body
+            head = b""
+
+
+def diff_lines(planned: DataFrame) -> DataFrame:
+    """``(file, hunk, line_no, text)`` rows of a unified diff with context lines."""
+    names = ["file", "hunk", "line_no", "text"]
+
+    def work(batches):
+        for batch in batches:
+            for file, path, content, spans in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = [(file, *row) for row in file_diff(path, content, [(s["start"], s["end"]) for s in spans])]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    types = [pa.string(), pa.int32(), pa.int32(), pa.binary()]
+    rows = planned.select("file", slashed(col("file")).alias("path"), "content", "spans").mapInArrow(
+        work, "file string, hunk int, line_no int, text binary")
+    return rows.withColumn("text", col("text").cast("string"))
 
 
 def unified_diff(planned: DataFrame) -> DataFrame:

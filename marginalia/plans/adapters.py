@@ -180,3 +180,29 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(head, F.array_join(F.transform(F.split("text", "\n", -1), body), "\n"), tail)
     return docs.select("doc_id", F.concat(F.lit("d"), col("doc_id").cast("string"), F.lit("."), lang).alias("file"),
                        text.cast("binary").alias("content"))
+
+
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(file, content)``: every document as a function whose blocks stand in each other, up to five deep.
+
+    Line i of the document is a comment above a call, inside i % 5 + 1 conditions.
+    """
+    docs = table(spark, sf_dir, "documents")
+    lang = pick(col("doc_id"), ("go", "ts", "php", "py"))
+    mark = F.when(lang == "py", "# ").otherwise("// ")
+    stop = F.when(lang.isin("ts", "php"), ";").otherwise("")
+    opens = F.when(lang == "go", "if x {").when(lang == "py", "if x:").otherwise("if (x) {")
+
+    def body(text, i):
+        depth = i % 5 + 1
+        tabs = lambda k: F.repeat(F.lit("\t"), k)
+        down = F.array_join(F.transform(F.sequence(F.lit(1), depth), lambda k: F.concat(tabs(k), opens)), "\n")
+        up = F.array_join(F.transform(F.sequence(depth, F.lit(1)), lambda k: F.concat(F.lit("\n"), tabs(k), F.lit("}"))), "")
+        return F.concat(down, F.lit("\n"), tabs(depth + 1), mark, text, F.lit("\n"), tabs(depth + 1), F.lit("call("), i.cast("string"), F.lit(")"),
+                        stop, F.when(lang == "py", "").otherwise(up))
+
+    head = (F.when(lang == "go", "package p\n\nfunc f() {\n").when(lang == "ts", "function f() {\n")
+            .when(lang == "php", "<?php\nfunction f() {\n").otherwise("def f():\n"))
+    text = F.concat(head, F.array_join(F.transform(F.split("text", "\n", -1), body), "\n"), F.when(lang == "py", "\n").otherwise("\n}\n"))
+    return docs.select("doc_id", F.concat(F.lit("n"), col("doc_id").cast("string"), F.lit("."), lang).alias("file"),
+                       text.cast("binary").alias("content"))

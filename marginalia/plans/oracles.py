@@ -406,6 +406,7 @@ ORACLES: dict[str, str] = {
         ELSE arg_max(severity, (file, line, ord)) END AS level, any_value({_RULE_TEXT}) AS description
         FROM results WHERE action <> 'keep' GROUP BY rule""",
     "request_packing": f"{_requests(2000)} SELECT req_id, n_findings, size_bytes, est_tokens FROM requests",
+    "split_requests": f"{_requests(900)} SELECT req_id, n_findings, size_bytes, est_tokens FROM requests",
     "token_total": f"{_requests(32000)} SELECT sum(est_tokens)::BIGINT AS est_tokens FROM requests",
     "budget_cut": f"""{_requests(32000)}, s AS (SELECT req_id, coalesce(sum(est_tokens) OVER (ORDER BY md5(req_id), req_id
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent_before FROM requests)
@@ -484,8 +485,66 @@ ORACLES: dict[str, str] = {
           AS edited_md5
         FROM source GROUP BY file, doc_id, lang, stop HAVING count(*) FILTER (i % 4 = 2) > 0""",
     "file_diffs": _DIFF,
-    "markup_comments": """SELECT 'm' || doc_id || '.tsx' AS file, 4 AS line, '// Keep ' || doc_id || ' in mind here' AS comment_text
-        FROM documents""",
+    "markup_comments": """SELECT 'm' || doc_id || '.tsx' AS file, (len(string_split(text, chr(10))) + 3)::INTEGER AS line,
+        '// Keep ' || doc_id || ' in mind here' AS comment_text FROM documents""",
+    "template_comments": r"""WITH l AS (
+          SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+        whole AS (
+          SELECT doc_id, 'const t = ' || string_agg('`' || regexp_replace(text, '[`\\\\$]', '.', 'g') || ' ${ // Line ' || i || chr(10), '' ORDER BY i) || 'x'
+            || repeat('}`', count(*)) || ';' AS code, count(*) AS n FROM l GROUP BY doc_id)
+        SELECT 't' || doc_id || '.ts' AS file, (i + 1)::INTEGER AS line, '// Line ' || i AS comment_text, 'trailing' AS kind,
+          md5(CASE WHEN n < 40 THEN code ELSE array_to_string(string_split(code, chr(10))[1:40], chr(10)) || chr(10) || '// ... truncated by marginalia' END) AS code_md5
+        FROM l JOIN whole USING (doc_id)""",
+    "nested_comments": f"""WITH {SOURCE_LINES}, deep AS (
+          SELECT *, i % 5 + 1 AS depth, CASE WHEN lang = 'py' THEN i % 5 + 3 ELSE 2 * (i % 5) + 4 END AS height FROM source),
+        placed AS (SELECT *, coalesce(sum(height) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM deep)
+        SELECT 'n' || doc_id || '.' || lang AS file, (([4, 2, 3, 2])[doc_id % 4 + 1] + above + depth)::INTEGER AS line, (depth + 2)::INTEGER AS "column",
+          'inline' AS kind, comment AS comment_text, 'call(' || i || ')' || stop AS code_text FROM placed""",
+    "comment_contexts": f"""WITH {SOURCE_LINES},
+        masked AS (
+          SELECT file, doc_id, lang, stop, last_i, list_concat(
+              [CASE lang WHEN 'go' THEN 'func f() {{' WHEN 'py' THEN 'def f():' ELSE 'function f() {{' END],
+              list(chr(9) || CASE i % 4 WHEN 0 THEN '' WHEN 2 THEN call || ' ' ELSE call END ORDER BY i),
+              ['', chr(9) || 'done()' || stop], CASE WHEN lang = 'py' THEN [] ELSE ['}}'] END) AS arr
+          FROM source GROUP BY file, doc_id, lang, stop, last_i),
+        spans AS (
+          SELECT s.file, s.line, m.arr, m.stop, s.i, CASE WHEN s.i % 4 = 2 THEN s.i + 2 WHEN s.i = s.last_i THEN s.last_i + 4 ELSE s.i + 3 END AS a,
+                 CASE WHEN s.i % 4 = 2 THEN s.i + 2 WHEN s.i = s.last_i THEN s.last_i + 4 WHEN s.i + 1 = s.last_i THEN s.i + 3 ELSE s.i + 4 END AS b
+          FROM source s JOIN masked m USING (file) WHERE s.i % 4 IN (0, 2)),
+        parts AS (
+          SELECT *, list_concat(arr[greatest(1, a - 6):a - 1], [chr(9)]) AS head,
+                 list_concat([rtrim(substr(arr[a], 2), ' ')], list_transform(arr[a + 1:b], lambda x: rtrim(x, ' '))) AS shown,
+                 list_concat([CASE WHEN arr[b] LIKE '% ' THEN ' ' ELSE '' END], arr[b + 1:b + 5]) AS tail FROM spans),
+        whole AS (
+          SELECT *, list_concat(head[1:len(head) - 1], [chr(9) || '>>> CODE'], shown, ['<<< CODE'],
+                                CASE WHEN array_to_string(tail, chr(10)) = '' THEN [] ELSE tail END) AS lines FROM parts)
+        SELECT file, line::INTEGER AS line, array_to_string(CASE WHEN len(lines) <= 6 THEN lines
+          ELSE lines[greatest(len(head) - 4, 0) + 1:greatest(len(head) - 4, 0) + 6] END, chr(10)) AS context FROM whole""",
+    "sparse_diffs": f"""WITH {SOURCE_LINES},
+        framed AS (
+          SELECT file, line, chr(9) || CASE i % 4 WHEN 0 THEN mark || text WHEN 2 THEN call || ' ' || note ELSE call END AS old_text,
+                 CASE i % 16 WHEN 2 THEN chr(9) || call END AS new_text, i % 16 = 8 AS removed FROM source
+          UNION ALL
+          SELECT file, k, (string_split({_HEAD}, chr(10)))[k], NULL, false FROM (SELECT DISTINCT file, doc_id FROM source),
+            LATERAL (SELECT unnest([1, 2, 3]) AS k) WHERE k < ([4, 2, 3, 2])[doc_id % 4 + 1]
+          UNION ALL
+          SELECT file, ([4, 2, 3, 2])[doc_id % 4 + 1] + last_i + k, CASE k WHEN 1 THEN '' WHEN 2 THEN chr(9) || 'done()' || stop ELSE '}}' END, NULL, false
+          FROM (SELECT DISTINCT file, doc_id, last_i, lang, stop FROM source), LATERAL (SELECT unnest([1, 2, 3]) AS k)
+          WHERE k < 3 OR lang <> 'py'),
+        marked AS (
+          SELECT *, new_text IS NOT NULL OR removed AS changed, max(line) OVER (PARTITION BY file) AS lines,
+                 max(CASE WHEN new_text IS NOT NULL OR removed THEN line END) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior,
+                 coalesce(count(*) FILTER (removed) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM framed),
+        numbered AS (
+          SELECT *, count(*) FILTER (changed AND (prior IS NULL OR line - prior > 7)) OVER (PARTITION BY file ORDER BY line) AS hunk FROM marked),
+        hunks AS (
+          SELECT file, hunk, greatest(min(line) - 3, 1) AS lo, least(max(line) + 3, max(lines)) AS hi, count(*) FILTER (removed) AS taken
+          FROM numbered WHERE changed GROUP BY file, hunk)
+        SELECT n.file, h.hunk::INTEGER AS hunk, n.line::INTEGER AS line_no,
+          CASE WHEN n.line = lo AND h.hunk = 1 THEN '--- a/' || n.file || chr(10) || '+++ b/' || n.file || chr(10) ELSE '' END
+          || CASE WHEN n.line = lo THEN '@@ -' || lo || ',' || (hi - lo + 1) || ' +' || (lo - gone) || ',' || (hi - lo + 1 - taken) || ' @@' || chr(10) ELSE '' END
+          || CASE WHEN removed THEN '-' || old_text WHEN new_text IS NULL THEN ' ' || old_text ELSE '-' || old_text || chr(10) || '+' || new_text END AS text
+        FROM numbered n JOIN hunks h ON n.file = h.file AND n.line BETWEEN lo AND hi""",
     "duplicate_paths": """SELECT CASE WHEN count(*) OVER (PARTITION BY path) > 1 THEN '#' || substr(digest, 1, 12) || '/' ELSE '' END || path
           AS file, digest
         FROM (SELECT DISTINCT 'p' || (doc_id % 300) || '.go' AS path, sha256(text) AS digest FROM documents)""",

@@ -270,6 +270,7 @@ def sarif_rules(spark, sf_dir):
 # --- requests --------------------------------------------------------------------------------
 
 SMALL_CAP = 2000
+SPLIT_CAP = 900
 
 
 @query
@@ -278,6 +279,13 @@ def request_packing(spark, sf_dir):
     return rows.select("req_id", "n_findings", "size_bytes", "est_tokens")
 
 
+@query
+def split_requests(spark, sf_dir):
+    """Requests under a cap so low that blocks of documentation are split."""
+    rows = batching.requests(A.findings(spark, sf_dir), load_rubric(), SPLIT_CAP)
+    return rows.select("req_id", "n_findings", "size_bytes", "est_tokens")
+
+
 @query
 def token_total(spark, sf_dir):
     return batching.estimated_tokens(batching.requests(A.findings(spark, sf_dir), load_rubric()))
@@ -312,7 +320,7 @@ def docblock_parts(spark, sf_dir):
 def _extract(sources, **changes):
     settings = _settings(**changes)
     texts = extraction.code_sources(sources, settings.languages)
-    return extraction.findings(extraction.parse(texts), texts, settings, 3), texts
+    return extraction.findings(extraction.parse(texts), settings, 3), texts
 
 
 @query
@@ -345,14 +353,35 @@ def file_status(spark, sf_dir):
 
 @query
 def markup_comments(spark, sf_dir):
-    """Comments of script files whose markup holds text that looks like one."""
-    title = F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", "")
+    """Comments of script files whose markup holds whole documents, some lines of which look like comments."""
+    def line(text, i):
+        for sign, name in (("&", "&amp;"), ("{", "&#123;"), ("}", "&#125;"), ("<", "&lt;"), (">", "&gt;")):
+            text = F.replace(text, F.lit(sign), F.lit(name))
+        return F.concat(F.when(i % 5 == 2, "// ").when(i % 7 == 3, "/* ").otherwise(""), text, F.when(i % 3 == 0, " see http://x.example/").otherwise(""))
+
     number = col("doc_id").cast("string")
-    content = F.concat(F.lit("export const A = () => (\n  <p>"), title, F.lit(" see http://x.example/"), number, F.lit(
-        " for more</p>\n)\n// Keep "), number, F.lit(" in mind here\nconst b = 1\n"))
+    lines = F.array_join(F.transform(F.split("text", "\n", -1), line), "\n")
+    content = F.concat(F.lit("export const A = () => (\n  <p>"), lines, F.lit("</p>\n)\n// Keep "), number, F.lit(" in mind here\nconst b = 1\n"))
     rows = A.table(spark, sf_dir, "documents").select(F.concat(F.lit("m"), number, F.lit(".tsx")).alias("file"), F.encode(content, "UTF-8").alias("content"))
-    found, _ = _extract(rows)
-    return found.select("file", "line", "comment_text")
+    return _extract(rows)[0].select("file", "line", "comment_text")
+
+
+@query
+def template_comments(spark, sf_dir):
+    """Comments inside template substitutions, one deeper in each line of a document."""
+    def line(text, i):
+        return F.concat(F.lit("`"), F.regexp_replace(text, r"[`\\\\$]", "."), F.lit(" ${ // Line "), i.cast("string"), F.lit("\n"))
+
+    lines = F.split("text", "\n", -1)
+    content = F.concat(F.lit("const t = "), F.array_join(F.transform(lines, line), ""), F.lit("x"), F.repeat(F.lit("}`"), F.size(lines)), F.lit(";\n"))
+    rows = A.table(spark, sf_dir, "documents").select(F.concat(F.lit("t"), col("doc_id").cast("string"), F.lit(".ts")).alias("file"), F.encode(content, "UTF-8").alias("content"))
+    return _extract(rows)[0].select("file", "line", "comment_text", "kind", F.md5(F.col("code_text").cast("binary")).alias("code_md5"))
+
+
+@query
+def nested_comments(spark, sf_dir):
+    """Comments in blocks up to five deep."""
+    return _extract(A.nested(spark, sf_dir))[0].select("file", "line", "column", "kind", "comment_text", "code_text")
 
 
 @query
@@ -379,3 +408,13 @@ def edited_files(spark, sf_dir):
 def file_diffs(spark, sf_dir):
     rows = edits.unified_diff(_planned(spark, sf_dir))
     return rows.select("file", F.md5(col("diff").cast("binary")).alias("diff_md5"))
+
+
+@query
+def sparse_diffs(spark, sf_dir):
+    """Diffs of several hunks a file: some comments go from the end of their line, others with their whole line."""
+    rows, texts = _extract(A.sources(spark, sf_dir))
+    first = F.when(col("file").endswith(".go"), 4).when(col("file").endswith(".php"), 3).otherwise(2)
+    place = (col("line") - first) % 16
+    doomed = rows.withColumn("action", F.when(((col("kind") == "trailing") & (place == 2)) | ((col("kind") == "inline") & (place == 8)), "delete").otherwise("keep"))
+    return edits.diff_lines(edits.plan_edits(doomed, texts))

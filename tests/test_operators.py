@@ -178,3 +178,27 @@ def test_docblock_tags_keep_their_continuation_lines(spark):
         assert block.encode()[part["start"]:part["end"]].decode() == part["text"]
     assert f">>> A1\n * {texts[1]}\n<<< A1\n" in got["block_text"]
     assert [p["slot"] for p in got["parts"]] == ["", "a1", "a2"]
+
+
+def test_items_are_packed_in_linear_time_and_slots_count_once():
+    import time
+
+    started = time.monotonic()
+    placed = batching.place_items([f"a{k}" for k in range(100_000)], [500] * 100_000, 2000, 32_000)
+    assert time.monotonic() - started < 5 and placed[-1][0] == 99_999 // 224 and max(n for _, n in placed) == 2000 + 224 * 500
+    # three slots of ten bytes, asked again and again, never fill a request that holds them
+    assert batching.place_items(["a", "b", "c"] * 50, [10] * 150, 100, 300)[-1] == (0, 130)
+    assert batching.place_items(["a", "b", "a"], [9000, 10, 9000], 0, 300) == [(0, 9000), (1, 10), (2, 9000)]
+
+
+@pytest.mark.parametrize("rows_in_window", [1, 3, 1 << 16])
+def test_running_totals_need_no_fixed_number_of_buckets(spark, rows_in_window):
+    import hashlib
+
+    amounts = {f"k{k}": k % 7 for k in range(900)}
+    rows = spark.createDataFrame(list(amounts.items()), "k string, v long")
+    got = {r.k: r.spent_before for r in batching.running_spend(rows, "k", "v", rows_in_window=rows_in_window).collect()}
+    spent, want = 0, {}
+    for k in sorted(amounts, key=lambda k: (hashlib.md5(k.encode()).hexdigest(), k)):
+        want[k], spent = spent, spent + amounts[k]
+    assert got == want
