@@ -83,17 +83,26 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
 def hash_runs(data: np.ndarray, starts: np.ndarray, values: np.ndarray = BYTE_VALUE) -> np.ndarray:
-    """One hash for the bytes from each start to the next; bytes of value 0 count for nothing at a run's end."""
+    """One hash for the bytes from each start to the next; bytes of value 0 count for nothing at a run's end.
+
+    Every byte is mixed with its place before the sum, so no polynomial identity makes two words meet.
+    """
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
         low = starts[at]
         to = max(at + 1, int(np.searchsorted(starts, low + BLOCK)))
         high = starts[to] if to < len(starts) else len(data)
-        power, unpower = _power_pair(int(high - low))
         local = starts[at:to] - low
-        out[at:to] = np.add.reduceat(values[data[low:high]] * power[: high - low], local) * unpower[local]
+        own = values[data[low:high]]
+        place = np.arange(high - low) - np.repeat(local, np.diff(np.append(local, high - low)))
+        terms = mix(own + place.astype(np.uint64) * _STEP)
+        terms[own == 0] = 0
+        out[at:to] = np.add.reduceat(terms, local)
         at = to
     return mix(out)
 

@@ -20,7 +20,7 @@ the tasks; what a text holds besides goes through a join on the word's hash, one
 
 Defined cases: null is the empty text, one end token; without training texts N, V and every count are 0
 and the attention model is untrained, so its outputs are uniform; equal rows get equal scores, each its own row;
-words are told apart by 64-bit hashes; extra columns are ignored; an empty table gives no rows.
+words are told apart by 64-bit hashes of bytes mixed with their places; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

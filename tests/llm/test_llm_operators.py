@@ -376,3 +376,18 @@ def test_twice_filter_misses_no_repeat(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, empty, name):
     assert collected(spark, name, empty) == []
+
+
+def test_words_with_one_polynomial_hash_stay_apart(spark):
+    import pyarrow as pa
+
+    from marginalia.llm import arrow_text, near_dedup
+
+    # of all sums over powers of any odd number modulo 2**64, these two have the same
+    one, two = "a", "b"
+    for _ in range(10):
+        one, two = one + two, two + one
+    hashes, _ = arrow_text.words(pa.array([one, two, one.upper(), f" {one}\t"]))
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2] == hashes[3]
+    docs = spark.createDataFrame([(1, f"p q r u {one}"), (2, f"p q r u {two}"), (3, f"P q r u {one} ")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
