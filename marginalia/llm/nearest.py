@@ -15,8 +15,8 @@ vector that fills a third of the table is many tasks' work, and no task holds mo
 
 Defined cases: vectors that are null, zero, of another length than most, or with null or non-finite
 components take no part, nor do rows without id. Exact repeats of a row count once; of different vectors
-under one id the better one counts. Ties go to the smaller id. Fewer candidates than ``k`` are all
-returned as far as their lists are probed, and with no more than ``k`` rows all lists are. Extra columns
+under one id the better one counts. Ties go to the smaller id. Every query gets ``k`` rows, or all candidates if
+there are fewer: where its lists hold too few, it probes all the others as well. Extra columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -155,25 +155,32 @@ def search(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", a
             near = nearest_list(lift(v, m["longest"]) @ m["rotation"], m["centres"])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32)), batch.column(2)], ["id", "v", "list", "asks"])
 
-    def probe(batches):
-        m = model.value
-        for batch in batches:
-            for part in (batch.slice(a, 1024) for a in range(0, batch.num_rows, 1024)):
-                v = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
-                order = probe_order(v, m)[:, :probes]
-                at = pa.array(np.repeat(np.arange(part.num_rows), order.shape[1]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(order.reshape(-1).astype(np.int32)),
-                                                  pa.array(np.tile(np.arange(order.shape[1], dtype=np.int32), part.num_rows))], ["id", "v", "list", "place"])
+    def probing(low: int, high: int):
+        """The lists of each query from the ``low``-th to the one before the ``high``-th, likeliest first."""
+        def probe(batches):
+            m = model.value
+            for batch in batches:
+                for part in (batch.slice(a, 1024) for a in range(0, batch.num_rows, 1024)):
+                    v = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
+                    order = probe_order(v, m)[:, low:high]
+                    at = pa.array(np.repeat(np.arange(part.num_rows), order.shape[1]))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(order.reshape(-1).astype(np.int32)),
+                                                      pa.array(np.tile(np.arange(low, low + order.shape[1], dtype=np.int32), part.num_rows))], ["id", "v", "list", "place"])
+
+        return probe
 
     indexed = stored(rows.mapInArrow(assign, "id long, v array<double>, list int, asks boolean").dropDuplicates(["id", "v"]), "vector-lists")
-    probed = stored(indexed.where("asks").select("id", "v").mapInArrow(probe, "id long, v array<double>, list int, place int"), "probes")
+    probed = stored(indexed.where("asks").select("id", "v").mapInArrow(probing(0, probes), "id long, v array<double>, list int, place int"), "probes")
     sizes = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"))
-    asked = probed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
-    plan = spark.createDataFrame(sizes.join(asked, "list").collect(), "list int, blocks int, parts int")  # a row per list, at most MOST_LISTS
-    stock = (indexed.join(plan, "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-             .select("list", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v"))
 
-    def best_of(queries: DataFrame) -> DataFrame:
+    def dealt(probed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """How many blocks and parts each list named is dealt in, a row per list, and the lists' rows so dealt."""
+        asked = probed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
+        plan = spark.createDataFrame(sizes.join(asked, "list").collect(), "list int, blocks int, parts int")  # at most MOST_LISTS rows
+        return plan, (indexed.join(plan, "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+                      .select("list", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v"))
+
+    def best_of(queries: DataFrame, plan: DataFrame, stock: DataFrame) -> DataFrame:
         """The best of each query in the lists it names, ``query_id, id, score``."""
         asking = (queries.join(plan, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
                   .select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", "id", "v", "bound"))
@@ -191,10 +198,19 @@ def search(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", a
 
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     near = max(1, probes // 8)
-    first = stored(best_of(probed.where(F.col("place") < near).withColumn("bound", F.lit(float("-inf")))), "nearest-first")
+    lots = dealt(probed)
+    first = stored(best_of(probed.where(F.col("place") < near).withColumn("bound", F.lit(float("-inf"))), *lots), "nearest-first")
     bound = (first.groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(ranked))
              .where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound")))
     others = probed.where(F.col("place") >= near).join(bound, "id", "left").select("id", "v", "list", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
-    every = first.unionByName(best_of(others)) if lists > near and probes > near else first
+    every = stored(first.unionByName(best_of(others, *lots)), "nearest-all") if lists > near and probes > near else first
+
+    # where the likeliest lists hold fewer than k rows, the other lists are probed too
+    most = min(k, indexed.select("id").distinct().count() - 1)
+    full = every.groupBy("query_id").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= most).select(F.col("query_id").alias("id"))
+    short = indexed.where("asks").select("id", "v").join(full, "id", "left_anti")
+    if lists > probes and not short.isEmpty():
+        rest = stored(short.mapInArrow(probing(probes, lists), "id long, v array<double>, list int, place int"), "probes-on")
+        every = every.unionByName(best_of(rest.withColumn("bound", F.lit(float("-inf"))), *dealt(rest)))
     best = every.groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", F.col("id").alias(key), "score")

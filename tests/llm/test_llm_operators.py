@@ -391,3 +391,16 @@ def test_words_with_one_polynomial_hash_stay_apart(spark):
     assert hashes[0] != hashes[1] and hashes[0] == hashes[2] == hashes[3]
     docs = spark.createDataFrame([(1, f"p q r u {one}"), (2, f"p q r u {two}"), (3, f"P q r u {one} ")], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_search_probes_on_until_all_ranks_are_held(spark):
+    from marginalia.llm import nearest
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (192, 16)) * 10
+    vectors = np.repeat(centres, 10, axis=0) + rng.normal(0, 0.001, (1920, 16))
+    rows = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in nearest.search(rows).collect():
+        found[r.query_id].append(r["rank"])
+    assert {q: sorted(ranks) for q, ranks in found.items()} == {q: list(range(1, 21)) for q in range(0, 1920, 20)}
