@@ -361,6 +361,10 @@ ORACLES: dict[str, str] = {
           WHEN contains(comment_text, 'de ') THEN 2 WHEN contains(comment_text, 'and') THEN 3 ELSE 4 END AS k FROM findings)
         SELECT doc_id, i, ([0.5e0, 2.5e0, 3e0, 2.7e0])[k] AS accuracy, ([1e0, 0.2e0, 3e0, 2.4e0])[k] AS usefulness,
           ([0.1e0, 0.3e0, 0.9e0, 0.05e0])[k] AS overreach, ([0.9e0, 0.9e0, 0.4e0, 0.93e0])[k] AS confidence FROM m""",
+    "many_recorded_answers": f"""WITH {FINDINGS}, pairs AS (
+          SELECT k, chr((97 + k * 7 % 26)::INTEGER) || chr((97 + (k * 11 + k // 26) % 26)::INTEGER) AS pair FROM range(676) r(k)),
+        met AS (SELECT doc_id, i, min(k) AS k FROM findings JOIN pairs ON contains(comment_text, pair) GROUP BY doc_id, i)
+        SELECT doc_id, i, coalesce((k % 301)::DOUBLE / 100e0, 3e0) AS accuracy FROM findings LEFT JOIN met USING (doc_id, i)""",
     "policy_default": f"{_DEFAULT} SELECT doc_id, i, action, severity, rule FROM results",
     "policy_strict": _results(40, 70, 25, 45, 0.4, "delete", exported="false", annotations="delete")
     + " SELECT doc_id, i, action, severity, rule FROM results",

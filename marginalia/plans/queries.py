@@ -200,6 +200,15 @@ def recorded_answers(spark, sf_dir):
         "usefulness"), entry["overreach"].alias("overreach"), entry["confidence"].alias("confidence"))
 
 
+@query
+def many_recorded_answers(spark, sf_dir):
+    """Recorded answers for every pair of letters, in an order in which most comments hold several."""
+    pairs = [(chr(97 + k * 7 % 26), chr(97 + (k * 11 + k // 26) % 26)) for k in range(676)]
+    scorer = RecordedScorer(tuple(Recorded(a + b, k % 301 / 100, 1.0, 0.5, 0.0, 0.9) for k, (a, b) in enumerate(pairs)), Recorded("", 3.0))
+    entry = scorer.match(col("comment_text"))
+    return A.findings(spark, sf_dir).select("doc_id", "i", entry["accuracy"].alias("accuracy"))
+
+
 # --- policy, summaries, reports --------------------------------------------------------------
 
 

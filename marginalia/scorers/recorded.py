@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,11 @@ from marginalia.functions.scoring import legend_label
 from marginalia.scorers import ANSWERS
 
 
+#: Entries that are compared one by one; a longer list becomes an automaton.
+MOST_BRANCHES = 64
+NUMBERS = ("accuracy", "usefulness", "overreach", "commented_out", "confidence")
+
+
 @dataclass(frozen=True)
 class Recorded:
     """Answers for comments containing ``match``."""
@@ -46,33 +54,67 @@ class RecordedScorer:
 
     def match(self, text: Column) -> Column:
         """The entry for a text, as one struct."""
-        def entry(r: Recorded) -> Column:
-            return F.struct(*[F.lit(float(getattr(r, name))).alias(name)
-                              for name in ("accuracy", "usefulness", "overreach", "commented_out")],
-                            F.lit(float(r.confidence or C.RECORDED_CONFIDENCE)).alias("confidence"))
+        return F.element_at(self.match_each(F.array(text)), 1)
+
+    def match_each(self, texts: Column) -> Column:
+        """The entry for every text of an array, as ``array<struct>``.
+
+        A few entries are branches of one expression. Many go into an Aho-Corasick automaton, built once a
+        task: it meets all entries a text contains in one pass, and the first in list order counts.
+        """
+        wanted = [r for r in self.verdicts if r.match]
+        if len(wanted) <= MOST_BRANCHES:
+            return F.transform(texts, lambda text: self._branches(wanted, text))
+        entries = [self._numbers(r) for r in (*wanted, self.default)]
+
+        def matched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            automaton = first_of([r.match for r in wanted])
+            for batch in batches:
+                yield pd.Series([[entries[min((k for _, k in automaton.iter(text or "")), default=-1)] for text in texts] for texts in batch], dtype=object)
+
+        return F.pandas_udf(matched, f"array<struct<{', '.join(f'{name}:double' for name in NUMBERS)}>>")(texts)
+
+    def _numbers(self, recorded: Recorded) -> dict[str, float]:
+        held = {name: float(getattr(recorded, name)) for name in NUMBERS}
+        return held | {"confidence": held["confidence"] or C.RECORDED_CONFIDENCE}
+
+    def _branches(self, wanted: list[Recorded], text: Column) -> Column:
+        def entry(recorded: Recorded) -> Column:
+            return F.struct(*[F.lit(value).alias(name) for name, value in self._numbers(recorded).items()])
 
         chain = F
-        for recorded in self.verdicts:
-            if recorded.match:
-                chain = chain.when(F.contains(text, F.lit(recorded.match)), entry(recorded))
+        for recorded in wanted:
+            chain = chain.when(F.contains(text, F.lit(recorded.match)), entry(recorded))
         return entry(self.default) if chain is F else chain.otherwise(entry(self.default))
 
     def score(self, requests: DataFrame) -> DataFrame:
         comment = F.element_at(F.split("state", "--- COMMENT ---", 2), -1)
+        said = self.match_each(F.transform("items", lambda item: section(comment, item["slot"])))
 
         def answer(item):
-            recorded = self.match(section(comment, item["slot"]))
+            recorded = item["said"]
             return F.struct(
-                item["slot"].alias("slot"), recorded["accuracy"].alias("accuracy"),
+                item["items"]["slot"].alias("slot"), recorded["accuracy"].alias("accuracy"),
                 recorded["confidence"].alias("accuracy_confidence"),
                 legend_label(recorded["accuracy"], C.ACCURACY_LEGEND).alias("accuracy_label"),
                 recorded["usefulness"].alias("usefulness"), recorded["confidence"].alias("usefulness_confidence"),
                 legend_label(recorded["usefulness"], C.USEFULNESS_LEGEND).alias("usefulness_label"),
                 recorded["overreach"].alias("overreach"), recorded["commented_out"].alias("commented_out"))
 
+        requests = requests.withColumn("said", said)
         return requests.withColumns({
-            "answers": F.transform("items", answer).cast(ANSWERS), "input_tokens": F.lit(self.input_tokens),
-            "model": F.lit(self.model)})
+            "answers": F.transform(F.arrays_zip("items", "said"), answer).cast(ANSWERS), "input_tokens": F.lit(self.input_tokens),
+            "model": F.lit(self.model)}).drop("said")
+
+
+def first_of(patterns: list[str]) -> ahocorasick.Automaton:
+    """An automaton of texts to look for that yields their number in the list, the first one of equal texts."""
+    automaton = ahocorasick.Automaton()
+    for k, pattern in enumerate(patterns):
+        if pattern not in automaton:
+            automaton.add_word(pattern, k)
+    automaton.make_automaton()
+    return automaton
 
 
 def section(comment: Column, slot: Column) -> Column:

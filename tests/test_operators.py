@@ -202,3 +202,25 @@ def test_running_totals_need_no_fixed_number_of_buckets(spark, rows_in_window):
     for k in sorted(amounts, key=lambda k: (hashlib.md5(k.encode()).hexdigest(), k)):
         want[k], spent = spent, spent + amounts[k]
     assert got == want
+
+
+def test_recorded_answers_scale_and_keep_list_order(spark):
+    import time
+
+    from marginalia.scorers import recorded
+
+    entries = tuple(recorded.Recorded(f"word{k}x", k / 1e5, 0.0, 0.0) for k in range(100_000))
+    scorer = recorded.RecordedScorer((recorded.Recorded("", 9.0), *entries[::-1], entries[7]), recorded.Recorded("", 2.5))
+    texts = ["word7x", "a word12x word99999x word3x", "none", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    started = time.monotonic()
+    made = rows.select("t", scorer.match(F.col("t"))["accuracy"].alias("a"))
+    made._jdf.queryExecution().executedPlan()
+    assert time.monotonic() - started < 5
+    got = {r.t: r.a for r in made.collect()}
+    assert got == {"word7x": 7e-5, texts[1]: 0.99999, "none": 2.5, None: 2.5, "": 2.5}
+    few = recorded.RecordedScorer((recorded.Recorded("b", 1.0), recorded.Recorded("a", 2.0), recorded.Recorded("ab", 3.0)))
+    many = recorded.RecordedScorer(few.verdicts + tuple(recorded.Recorded(f"zz{k}", 0.1) for k in range(100)))
+    for text in ("ab", "a", "xx b a", ""):
+        one = rows.limit(1).select(few.match(F.lit(text)).alias("f"), many.match(F.lit(text)).alias("m")).first()
+        assert one.f == one.m
