@@ -17,8 +17,8 @@ from marginalia.constants import DIFF_CONTEXT
 from marginalia.functions.paths import language_of, slashed
 from marginalia.functions.text import WS
 from marginalia.operators.extraction import slice_bytes
-from marginalia.operators.lexing import tokens, with_pieces
-from marginalia.operators.structure import syntax_status
+from marginalia.operators.lexing import with_pieces
+from marginalia.operators.structure import source_status
 from marginalia.plans.durable import durable
 
 col = F.col
@@ -87,7 +87,7 @@ def guard(planned: DataFrame) -> DataFrame:
 
     def status(content: str, prefix: str) -> DataFrame:
         named = with_pieces(planned.select("file", col(content).alias("content"))).repartition("file")
-        return syntax_status(tokens(named)).select(
+        return source_status(named).select(
             "file", *[col(c).alias(f"{prefix}_{c}") for c in ("ok", "error", "digest")])
 
     checked = planned.join(status("edited", "new"), "file", "left").join(
