@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.llm.arrow_text import slices, utf8
+from marginalia.session import small_batches
 
 UNKNOWN = "und"
 
@@ -133,6 +134,7 @@ def fit(docs: DataFrame, bytes_per_lang: int = 1 << 19, **shape) -> dict:
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the winner's share under equal priors."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def tag(batches):
