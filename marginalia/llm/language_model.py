@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 from marginalia.llm.arrow_text import hash_runs, slices, utf8, word_starts
 from marginalia.llm.storage import stored
 from marginalia.llm.token_codec import codec, public_files
+from marginalia.session import small_batches
 
 HOT_WORDS = 1 << 19
 SAMPLE_BYTES = 1 << 20
@@ -43,6 +44,8 @@ SAMPLE_BYTES = 1 << 20
 RATES = (0.01, 0.006, 0.003, 0.001)
 WIDTH, WINDOW, STRIDE = 24, 48, 32
 CLASSES = MEMBERS = 32
+#: Subword ids whose windows a task holds while it scores.
+SCORED_AT_ONCE = 1 << 17
 END, OTHER = 0, 1
 _IDS = 50_257
 
@@ -126,10 +129,13 @@ def windows(ids: np.ndarray, begins: np.ndarray):
     per_row = -(-lengths // STRIDE)
     row = np.repeat(np.arange(len(lengths)), per_row)
     number = np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
-    place = number[:, None] * STRIDE + np.arange(STRIDE)
-    targets = np.where(place < lengths[row][:, None], ids[np.minimum(begins[:-1][row][:, None] + place, len(ids) - 1)], -1)
-    place = number[:, None] * STRIDE - (WINDOW - STRIDE) - 1 + np.arange(WINDOW)
-    inputs = np.where((place >= 0) & (place < lengths[row][:, None]), ids[np.clip(begins[:-1][row][:, None] + place, 0, len(ids) - 1)], END)
+    step = number * STRIDE
+    begin, left = (begins[:-1][row] + step)[:, None], (lengths[row] - step)[:, None]
+    targets = ids.take(begin + np.arange(STRIDE), mode="clip")
+    targets[np.arange(STRIDE) >= left] = -1
+    place = np.arange(WINDOW) - (WINDOW - STRIDE) - 1
+    inputs = ids.take(begin + place, mode="clip")
+    inputs[(place < -step[:, None]) | (place >= left)] = END
     return inputs, targets, row
 
 
@@ -138,49 +144,67 @@ def causal_mask() -> np.ndarray:
 
 
 def attend(w: dict, inputs: np.ndarray, mask: np.ndarray):
-    """Hidden states of the queries, and what the gradient needs."""
-    x = w["embed"][inputs] + w["place"]
-    flat = x.reshape(-1, WIDTH)
-    keys, values = (flat @ w["k"]).reshape(x.shape), (flat @ w["v"]).reshape(x.shape)
+    """Hidden states of the queries, and what the gradient needs.
+
+    Keys are only met by queries and values only by the output, so the two matrices of each pair are multiplied
+    first: inputs are compared, and mixed, as they are.
+    """
+    x = w["embed"].take(inputs, 0)
+    x += w["place"]
     tail = np.ascontiguousarray(x[:, WINDOW - STRIDE :])
-    queries = (tail.reshape(-1, WIDTH) @ w["q"]).reshape(tail.shape) * np.float32(WIDTH**-0.5)
-    share = np.matmul(queries, keys.transpose(0, 2, 1))
+    sought = (tail.reshape(-1, WIDTH) @ (w["q"] @ w["k"].T * x.dtype.type(WIDTH**-0.5))).reshape(tail.shape)
+    share = np.matmul(sought, x.transpose(0, 2, 1))
     np.clip(share, -30, 30, out=share)
     np.exp(share, out=share)
     share *= mask
-    share /= share.sum(2, keepdims=True)
-    mixed = np.matmul(share, values)
-    hidden = np.tanh(tail + (mixed.reshape(-1, WIDTH) @ w["o"]).reshape(tail.shape))
-    return hidden, (x, tail, keys, values, queries, share, mixed)
+    flat = share.reshape(-1, WINDOW)
+    flat *= (1 / (flat @ np.ones(WINDOW, x.dtype)))[:, None]
+    mixed = np.matmul(share, x)
+    hidden = (mixed.reshape(-1, WIDTH) @ (w["v"] @ w["o"])).reshape(tail.shape)
+    hidden += tail
+    return np.tanh(hidden, out=hidden), (x, tail, sought, share, mixed)
+
+
+def by_class(hidden: np.ndarray, target: np.ndarray):
+    """Places with a target, class by class: their numbers, states with a 1 behind for the bias, classes, members, and the slice of each class met."""
+    target = target.astype(np.int16)  # short numbers sort faster
+    order = np.argsort(target, kind="stable")
+    order = order[int((target < 0).sum()) :]
+    own = np.ones((len(order), WIDTH + 1), hidden.dtype)
+    own[:, :WIDTH] = hidden.take(order, 0)
+    klass, member = np.divmod(target[order], MEMBERS)
+    edges = np.searchsorted(klass, np.arange(CLASSES + 1))
+    return order, own, klass, member, [(c, slice(edges[c], edges[c + 1])) for c in range(CLASSES) if edges[c] < edges[c + 1]]
+
+
+def heads(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The output weights of classes and of members, each with its bias as a last row."""
+    return np.concatenate([w["klass"], w["klass_bias"][None]]), np.concatenate([w["member"], w["member_bias"][:, None]], 1)
 
 
 def log_softmax_at(logits: np.ndarray, index: np.ndarray) -> np.ndarray:
     picked = logits[np.arange(len(logits)), index]
     np.exp(logits, out=logits)
-    return picked - np.log(logits.sum(1))
+    return picked - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
 
 def score_ids(model: dict, ids: np.ndarray, begins: np.ndarray, batch: int = 256) -> np.ndarray:
     """Log10 probability of each row of subword ids (the last of each row the end mark, -1)."""
     w, mask = model["weights"], causal_mask()
+    outer, inner = heads(w)
     known = model["lookup"][ids]
     out = np.zeros(len(begins) - 1)
     others = np.add.reduceat(model["rest"][ids], begins[:-1]) if len(ids) else np.zeros(0)
     inputs, targets, row = windows(known, begins)
+    logp = np.zeros(targets.shape, np.float32)
     for at in range(0, len(inputs), batch):
         hidden, _ = attend(w, inputs[at : at + batch], mask)
-        target = targets[at : at + batch].reshape(-1)
-        live = target >= 0
-        hidden, target = hidden.reshape(-1, WIDTH)[live], target[live]
-        klass, member = target // MEMBERS, target % MEMBERS
-        logp = log_softmax_at(hidden @ w["klass"] + w["klass_bias"], klass)
-        order = np.argsort(klass.astype(np.int16), kind="stable")
-        edges = np.searchsorted(klass[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[edges[c] : edges[c + 1]]
-            if len(own):
-                logp[own] += log_softmax_at(hidden[own] @ w["member"][c] + w["member_bias"][c], member[own])
-        out += np.bincount(np.repeat(row[at : at + batch], STRIDE)[live], logp.astype(np.float64), len(out))
+        order, own, klass, member, spans = by_class(hidden.reshape(-1, WIDTH), targets[at : at + batch].reshape(-1))
+        logits = np.empty((len(own), MEMBERS), own.dtype)
+        for c, some in spans:
+            np.matmul(own[some], inner[c], out=logits[some])
+        logp[at : at + batch].reshape(-1)[order] = log_softmax_at(own @ outer, klass) + log_softmax_at(logits, member)
+    out += np.bincount(row, logp.sum(1, dtype=np.float64), len(out))
     return (out + others) / np.log(10)
 
 
@@ -206,16 +230,24 @@ def warm_up(model: dict, ids: np.ndarray, begins: np.ndarray, steps: int = 1000,
 def adam(w: dict):
     """A function that changes ``w`` by one step on a batch of windows at a rate."""
     mask, steps = causal_mask(), 0
-    moments = {n: (np.zeros_like(v), np.zeros_like(v)) for n, v in w.items()}
+    ends = np.cumsum([0, *(x.size for x in w.values())])
+    m, v, change = np.zeros((3, ends[-1]), np.float32)
 
     def descend(inputs: np.ndarray, targets: np.ndarray, rate: float) -> None:
         nonlocal steps
         steps += 1
-        for n, g in gradients(w, inputs, targets, mask).items():
-            m, v = moments[n]
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            w[n] -= (rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-8)).astype(np.float32)
+        found = gradients(w, inputs, targets, mask)
+        g = np.concatenate([found[n].reshape(-1) for n in w])
+        np.subtract(g, m, out=change)
+        np.add(m, np.multiply(change, 0.1, out=change), out=m)
+        np.multiply(g, g, out=g)
+        np.subtract(g, v, out=g)
+        np.add(v, np.multiply(g, 0.01, out=g), out=v)
+        np.multiply(v, 1 / (1 - 0.99**steps), out=g)
+        np.add(np.sqrt(g, out=g), 1e-8, out=g)
+        np.multiply(np.divide(m, g, out=change), rate / (1 - 0.9**steps), out=change)
+        for x, low, high in zip(w.values(), ends[:-1], ends[1:], strict=True):
+            x -= change[low:high].reshape(x.shape)
         for n in ("klass", "member"):
             np.clip(w[n], -3, 3, out=w[n])  # with hidden states within one this keeps every logit far from overflow
 
@@ -224,54 +256,55 @@ def adam(w: dict):
 
 def gradients(w: dict, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray) -> dict:
     """Gradients of the mean negative log likelihood of one batch of windows."""
-    hidden, (x, tail, keys, values, queries, share, mixed) = attend(w, inputs, mask)
-    flat, target = hidden.reshape(-1, WIDTH), targets.reshape(-1)
-    order = np.argsort(target, kind="stable")
-    order = order[int((target < 0).sum()) :]  # places with a target, class by class
-    n = max(1, len(order))
-    own, klass, member = flat[order], target[order] // MEMBERS, target[order] % MEMBERS
-    edges = np.searchsorted(klass, np.arange(CLASSES + 1))
-    g = {}
+    hidden, (x, tail, sought, share, mixed) = attend(w, inputs, mask)
+    flat = hidden.reshape(-1, WIDTH)
+    order, own, klass, member, spans = by_class(flat, targets.reshape(-1))
+    part, g = flat.dtype.type(1 / max(1, len(order))), {}
 
     def soft(logits, index):
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(p)), index] -= 1
-        p /= n
-        return p
-
-    d_class = soft(own @ w["klass"] + w["klass_bias"], klass)
-    g["klass"], g["klass_bias"] = own.T @ d_class, d_class.sum(0)
-    g["member"], g["member_bias"] = np.zeros_like(w["member"]), np.zeros_like(w["member_bias"])
+        np.exp(logits, out=logits)
+        logits *= (part / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
+        logits[np.arange(len(logits)), index] -= part
+        return logits
+
+    outer, inner = heads(w)
+    d_class = soft(own @ outer, klass)
+    both = own.T @ d_class
+    g["klass"], g["klass_bias"] = both[:-1], both[-1]
     d_own = d_class @ w["klass"].T
-    for c in range(CLASSES):
-        at = slice(edges[c], edges[c + 1])
-        if edges[c] < edges[c + 1]:
-            d_member = soft(own[at] @ w["member"][c] + w["member_bias"][c], member[at])
-            g["member"][c], g["member_bias"][c] = own[at].T @ d_member, d_member.sum(0)
-            d_own[at] += d_member @ w["member"][c].T
-    d_hidden = np.zeros_like(flat)
-    d_hidden[order] = d_own
-    d_sum = (d_hidden * (1 - flat**2)).reshape(hidden.shape)
-    flat_sum = d_sum.reshape(-1, WIDTH)
-    g["o"] = mixed.reshape(-1, WIDTH).T @ flat_sum
-    d_mixed = (flat_sum @ w["o"].T).reshape(hidden.shape)
-    d_values = np.matmul(share.transpose(0, 2, 1), d_mixed)
-    d_share = np.matmul(d_mixed, values.transpose(0, 2, 1))
-    d_score = share * (d_share - (d_share * share).sum(2, keepdims=True))
-    d_queries = np.matmul(d_score, keys) * np.float32(WIDTH**-0.5)
-    d_keys = np.matmul(d_score.transpose(0, 2, 1), queries)
-    g["q"] = tail.reshape(-1, WIDTH).T @ d_queries.reshape(-1, WIDTH)
-    g["k"] = x.reshape(-1, WIDTH).T @ d_keys.reshape(-1, WIDTH)
-    g["v"] = x.reshape(-1, WIDTH).T @ d_values.reshape(-1, WIDTH)
-    d_x = d_keys @ w["k"].T + d_values @ w["v"].T
-    d_x[:, WINDOW - STRIDE :] += d_sum + d_queries @ w["q"].T
+    logits, both, d_more = np.empty((len(own), MEMBERS), own.dtype), np.zeros_like(inner), np.empty_like(d_own)
+    for c, at in spans:
+        np.matmul(own[at], inner[c], out=logits[at])
+    soft(logits, member)
+    for c, at in spans:
+        np.matmul(own[at].T, logits[at], out=both[c])
+        np.matmul(logits[at], w["member"][c].T, out=d_more[at])
+    g["member"], g["member_bias"] = both[:, :-1], both[:, -1]
+    d_own += d_more
+    d_sum = np.zeros_like(flat)
+    d_sum[order] = d_own
+    d_sum *= 1 - flat * flat
+    key, scale = w["q"] @ w["k"].T, flat.dtype.type(WIDTH**-0.5)
+    g_value = mixed.reshape(-1, WIDTH).T @ d_sum
+    g["v"], g["o"] = g_value @ w["o"].T, w["v"].T @ g_value
+    d_mixed = (d_sum @ (w["v"] @ w["o"]).T).reshape(mixed.shape)
+    d_score = np.matmul(d_mixed, x.transpose(0, 2, 1))
+    d_score -= np.einsum("wqd,wqd->wq", d_mixed, mixed)[:, :, None]  # what the shares of a query, which sum to one, cannot change
+    d_score *= share
+    d_sought = np.matmul(d_score, x).reshape(-1, WIDTH)
+    d_x = np.matmul(share.transpose(0, 2, 1), d_mixed)
+    d_x += np.matmul(d_score.transpose(0, 2, 1), sought)
+    g_key = tail.reshape(-1, WIDTH).T @ d_sought * scale
+    g["q"], g["k"] = g_key @ w["k"], g_key.T @ w["q"]
+    d_sum += d_sought @ (key.T * scale)
+    d_x[:, WINDOW - STRIDE :] += d_sum.reshape(hidden.shape)
     g["place"] = d_x.sum(0)
     g["embed"] = np.zeros_like(w["embed"])
-    order = np.argsort(inputs.reshape(-1), kind="stable")
-    met = inputs.reshape(-1)[order]
+    met = inputs.reshape(-1).astype(np.int16)
+    order = np.argsort(met, kind="stable")
+    met = met[order]
     first = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
-    g["embed"][met[first]] = np.add.reduceat(d_x.reshape(-1, WIDTH)[order], first)
+    g["embed"][met[first]] = np.add.reduceat(d_x.reshape(-1, WIDTH).take(order, 0), first)
     return g
 
 
@@ -404,6 +437,7 @@ def fit(taught: DataFrame, by_id: np.ndarray, ends: int, size: int) -> dict:
 def score(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", files=None) -> DataFrame:
     """``key, n_tokens, n_known, train_tokens, base_score, score`` per row; ``learn``: the rows to learn from."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = stored(read(docs, learn, key, text, files or public_files()), "texts")
     taught = texts.where("learn")
     every = stored(counts_of(taught), "counts")
@@ -434,7 +468,7 @@ def score(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", files
             found = np.minimum(np.searchsorted(hot_word, marks), max(0, len(hot_word) - 1))
             hit = hot_word[found] == marks if len(hot_word) else np.zeros(len(marks), bool)
             owner = np.repeat(np.arange(rows), np.diff(cut))
-            sums = np.bincount(owner[hit], hot_log[found[hit]] * times[hit], rows) if len(hot_word) else np.zeros(rows)
+            sums = np.bincount(owner[hit], hot_log[found[hit]] * times[hit], rows).astype(np.float64) if hit.any() else np.zeros(rows)
             near = np.bincount(owner[hit], times[hit], rows).astype(np.int64)
             scores = np.concatenate([np.zeros(0), *(score_ids(model, ids[begins[a] : begins[b]], begins[a : b + 1] - begins[a]) for a, b in slices(begins, 1 << 20))])
             rare = pa.StructArray.from_arrays([pa.array(marks[~hit]), pa.array(times[~hit].astype(np.int64))], ["word", "n"])

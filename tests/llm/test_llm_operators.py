@@ -188,6 +188,38 @@ def test_attention_model_is_a_distribution_and_gradients_are_right():
         assert math.isclose(slope, grads[name][at], rel_tol=2e-3, abs_tol=1e-6), name
 
 
+def test_attention_equals_keys_and_values_apart_and_places_come_class_by_class():
+    from marginalia.llm import language_model as lm
+
+    rng = np.random.default_rng(2)
+    w = {k: x.astype(np.float64) for k, x in lm.untrained(np.arange(900))["weights"].items()}
+    w |= {k: rng.normal(0, 0.5, w[k].shape) for k in ("klass", "member", "klass_bias", "member_bias")}
+    inputs, target = rng.integers(0, 900, (3, lm.WINDOW)), rng.integers(-1, 900, 3 * lm.STRIDE)
+    hidden, _ = lm.attend(w, inputs, lm.causal_mask().astype(np.float64))
+    order, own, klass, member, spans = lm.by_class(hidden.reshape(-1, lm.WIDTH), target)
+    outer, inner = lm.heads(w)
+    assert sorted(order) == list(np.flatnonzero(target >= 0)) and sum(at.stop - at.start for _, at in spans) == len(order)
+    for place, row, k, m in zip(order, own, klass, member, strict=True):
+        window, query = divmod(int(place), lm.STRIDE)
+        x = (w["embed"][inputs[window]] + w["place"])[: lm.WINDOW - lm.STRIDE + query + 1]
+        weight = np.exp((x @ w["k"]) @ (x[-1] @ w["q"]) / lm.WIDTH**0.5)
+        state = np.tanh(x[-1] + (weight / weight.sum()) @ (x @ w["v"]) @ w["o"])
+        assert np.allclose(row, [*state, 1]) and divmod(int(target[place]), lm.MEMBERS) == (k, m)
+        assert np.allclose(row @ outer, state @ w["klass"] + w["klass_bias"]) and np.allclose(row @ inner[k], state @ w["member"][k] + w["member_bias"][k])
+    assert all((klass[at] == c).all() for c, at in spans)
+
+
+def test_language_model_bounds_the_batches_that_go_to_python(spark):
+    from marginalia.llm import language_model as lm
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").repartition(2, "doc_id")
+    assert sorted((r.doc_id, r.n_tokens, r.n_known) for r in lm.score(docs, F.lit(True)).collect()) == [(1, 3, 3), (2, 1, 1)]  # a batch may hold no word at all
+    assert int(spark.conf.get(name)) == 1 << 21 and lm.SCORED_AT_ONCE <= 1 << 17
+    spark.conf.unset(name)
+
+
 def test_attention_model_learns_from_all_training_texts(spark):
     from marginalia.llm import language_model as lm
 
